@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from variantlab.llm import bpe, neardup, packing, quality, substrings, toxicity, vectors, warc
+from variantlab.llm import bpe, neardup, packing, pii, quality, substrings, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vector_near_duplicates, op2_bpe, op4_warc, op5_repeated_passages, op6_quality_rules, op7_packing, op9_toxicity, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_vector_near_duplicates, op2_bpe, op4_warc, op5_repeated_passages, op6_quality_rules, op7_packing, op8_personal_data, op9_toxicity, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
