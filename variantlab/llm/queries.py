@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from variantlab.llm import bpe, neardup, packing, pii, quality, substrings, toxicity, vectors, warc
+from variantlab.llm import bpe, neardup, packing, pages, pii, quality, substrings, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_report(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vector_near_duplicates, op2_bpe, op4_warc, op5_repeated_passages, op6_quality_rules, op7_packing, op8_personal_data, op9_toxicity, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_vector_near_duplicates, op2_bpe, op3_main_text, op4_warc, op5_repeated_passages, op6_quality_rules, op7_packing, op8_personal_data, op9_toxicity, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
