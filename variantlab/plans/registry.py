@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from variantlab.plans import cleaning, statistics  # noqa: F401  they register their queries
+from variantlab.plans.common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
