@@ -12,10 +12,11 @@ from variantlab.functions.expr import RESIDUES, blosum, residue_index
 #: Width of the position window.
 WIDTH = 21
 
-# Fixed values of the profile: background shares of RESIDUES, effective numbers by similarity from 1
-# in steps of a quarter, and the scale of substitution scores.
+# Fixed values of the profile: background shares of RESIDUES, effective numbers by the step of the similarity, and the scale of substitution scores.
 BACKGROUND = (0.085786, 0.045676, 0.047306, 0.058022, 0.018036, 0.037722, 0.059724, 0.081155, 0.021639, 0.052944, 0.081156, 0.058717, 0.021109, 0.039946, 0.048178, 0.063047, 0.060835, 0.014256, 0.036310, 0.068436)
-EFFECTIVE: tuple[float, ...] = ()
+EFFECTIVE = (
+    1.0, 1.5, 2.0, 2.5, 3.1, 3.8, 4.2, 5.0, 5.8, 6.4, 7.0, 7.8, 8.9, 9.5, 10.2, 11.2, 12.2, 13.2, 14.2, 15.2, 16.2, 17.5, 19.0, 20.2, 22.0, 23.5, 25.8, 27.5, 30.0, 33.0, 35.5, 40.0, 44.0, 50.0, 55.0,
+)
 SCALE, PSEUDO, MOST_SIMILAR, MOST_EFFECTIVE = 0.225, 5.0, 18.0, 100.0
 
 
@@ -90,7 +91,7 @@ def window_medians(medians: DataFrame, group: str, pos: str, value: str = "media
     return held.select(group, pos, value, mid.alias("window_median"))
 
 
-def effective_number(similarity: np.ndarray, table: tuple[float, ...]) -> np.ndarray:
+def effective_number(similarity: np.ndarray, table: tuple[float, ...] = EFFECTIVE) -> np.ndarray:
     """The effective number of sequences by their similarity."""
     scaled = similarity / 0.5 - 2
     whole = np.floor(np.maximum(scaled, 0))
@@ -121,7 +122,7 @@ def similarities(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def profile(codes: np.ndarray, table: tuple[float, ...]) -> np.ndarray:
+def profile(codes: np.ndarray, table: tuple[float, ...] = EFFECTIVE) -> np.ndarray:
     """Log-odds scores [pos, residue] of an alignment, to three places; a column of gaps scores 0."""
     background = np.array(BACKGROUND)
     each = effective_number(similarities(codes), table)
@@ -134,7 +135,7 @@ def profile(codes: np.ndarray, table: tuple[float, ...]) -> np.ndarray:
     return np.round(np.where(total > 0, np.log(np.maximum(odds, 1e-300)), 0.0), 3)
 
 
-def profiles(rows: DataFrame, table: tuple[float, ...], group: str = "prot_id", row: str = "row_nr", aligned: str = "aligned") -> DataFrame:
+def profiles(rows: DataFrame, table: tuple[float, ...] = EFFECTIVE, group: str = "prot_id", row: str = "row_nr", aligned: str = "aligned") -> DataFrame:
     """A36-A40 by group: pos, aa, score and n_rows (rows with a residue in the column). One alignment is one group, and fits a task."""
     kind = rows.schema[group].dataType.simpleString()
 

@@ -6,10 +6,14 @@ features or feature pairs are small whatever the number of samples.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variantlab.operators.stats import avg_rank, safe_corr
+from variantlab.operators.stats import avg_rank, ranked, safe_corr
 
 
 def pair_statistics(long: DataFrame, sample: str, target: str | None = None, feature: str = "feature", value: str = "value", complete: bool = False) -> DataFrame:
@@ -17,7 +21,8 @@ def pair_statistics(long: DataFrame, sample: str, target: str | None = None, fea
 
     feat_a < feat_b by name.  cov_a and cov_b are shares of all samples, cov_both that of samples
     with both among those with either.  With `target`, tv_a and tv_b are each feature's Spearman with
-    it.  complete: no value is NULL, so ranks are taken once for a feature instead of once for a pair.
+    it.  complete: no value is NULL, so ranks are taken once for a feature instead of once for a pair,
+    and no row is made for a pair of a sample's features.
     """
     rows = long.select(sample, feature, F.col(value).cast("double").alias("v"), *([target] if target else []))
     given = rows.where("v is not null")
@@ -27,15 +32,34 @@ def pair_statistics(long: DataFrame, sample: str, target: str | None = None, fea
         own = given.where(F.col(target).isNotNull()).select(feature, avg_rank("v", feature).alias("r"), avg_rank(target, feature).alias("t"))
         each = each.join(own.groupBy(feature).agg(safe_corr("r", "t").alias("tv")), feature, "left")
     if complete:
-        given = given.withColumn("r", avg_rank("v", feature))
+        out = _rank_matrix(given, sample, feature)
+        return _with_cover(out, each, total, feature, bool(target))
     # one array per sample keeps a self-join on samples from shuffling twice
-    width = given.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(F.col(feature).alias("f"), F.col("r" if complete else "v").alias("x")))).alias("fs"))
+    width = given.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(F.col(feature).alias("f"), F.col("v").alias("x")))).alias("fs"))
     first = width.select(sample, "fs", F.posexplode("fs").alias("i", "a"))
     pairs = first.select(F.col("a.f").alias("feat_a"), F.col("a.x").alias("xa"), F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("b"))
     pairs = pairs.select("feat_a", F.col("b.f").alias("feat_b"), "xa", F.col("b.x").alias("xb"))
-    if not complete:
-        pairs = pairs.select("feat_a", "feat_b", avg_rank("xa", "feat_a", "feat_b").alias("xa"), avg_rank("xb", "feat_a", "feat_b").alias("xb"))
+    pairs = pairs.select("feat_a", "feat_b", avg_rank("xa", "feat_a", "feat_b").alias("xa"), avg_rank("xb", "feat_a", "feat_b").alias("xb"))
     out = pairs.groupBy("feat_a", "feat_b").agg(F.count("*").alias("n_both"), safe_corr("xa", "xb").alias("corr"))
+    return _with_cover(out, each, total, feature, bool(target))
+
+
+def _rank_matrix(given: DataFrame, sample: str, feature: str) -> DataFrame:
+    """Pairs of features with n_both and corr, where every sample has every feature.
+
+    Ranks are taken in slices, a sample's ranks become one vector, and the vectors' Gram matrix is
+    summed up task by task: samples are never multiplied by pairs, and the driver gets features squared.
+    """
+    names = [r[0] for r in given.select(feature).distinct().orderBy(feature).collect()]
+    n = given.select(sample).distinct().count()
+    ranks = ranked(given, "v", "r", [feature])
+    rows = ranks.groupBy(sample).agg(F.transform(F.sort_array(F.collect_list(F.struct(feature, "r"))), lambda s: s["r"]).alias("x"))
+    found = Correlation.corr(rows.select(array_to_vector("x").alias("x")), "x", "pearson").first()[0].toArray() if n > 1 else None
+    pairs = [(a, b, n, None if found is None or math.isnan(found[i, j]) else float(found[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return given.sparkSession.createDataFrame(pairs, "feat_a string, feat_b string, n_both long, corr double")
+
+
+def _with_cover(out: DataFrame, each: DataFrame, total: DataFrame, feature: str, target: bool) -> DataFrame:
     extra = ["tv"] if target else []
     for side in "ab":
         out = out.join(each.select(F.col(feature).alias(f"feat_{side}"), F.col("n").alias(f"n_{side}"), *[F.col(x).alias(f"{x}_{side}") for x in extra]), f"feat_{side}")

@@ -68,7 +68,7 @@ def grouped_kfold(rows: DataFrame, group: str, k: int = 4) -> DataFrame:
         table = table.sort_values(group)
         return pd.DataFrame(pack_groups(zip(table[group], table["n"]), k), columns=[group, "fold"])
 
-    folds = sizes.groupBy(F.lit(0)).applyInPandas(run, f"`{group}` {kind}, fold int")
+    folds = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"`{group}` {kind}, fold int")
     return rows.join(folds, group)
 
 
