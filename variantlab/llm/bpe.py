@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from variantlab.llm.arrays import SPACE, chunks, utf8
 
@@ -170,7 +171,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """`docs` with the column `ids`, an array of ints; a column of that name is replaced."""
     path = path or public_path()
     rest = [c for c in docs.columns if c != "ids"]
-    schema = docs.select(*rest).schema.add("ids", "array<int>")
+    schema = docs.select(*rest).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)

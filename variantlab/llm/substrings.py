@@ -91,7 +91,7 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     occurrences = rows.mapInArrow(lambda x: _occurrences(x, sentences, words), "h long, doc_id long, at long, later boolean")
     shared = occurrences.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low")
-    found = occurrences.join(shared, "h", "left").where("later or doc_id > low")
+    found = occurrences.join(shared.hint("merge"), "h", "left").where("later or doc_id > low")
     return found.groupBy("doc_id").agg(F.collect_set("at").alias("spans"))
 
 
@@ -118,7 +118,7 @@ def cut(text: str, spans: list[int]) -> tuple[str, int]:
 def removed_passages(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """`docs` without repeated passages in `text` (`n_chars` follows), with s_removed, the number of sentences taken out."""
     spans = repeated(docs, sentences, words).withColumnsRenamed({"doc_id": "s_doc_id", "spans": "s_spans"})
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("s_doc_id"), "left").drop("s_doc_id")
+    joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("s_doc_id"), "left").drop("s_doc_id")
     schema = docs.limit(0).schema.add("s_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
