@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
 
     members = in_blocks(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), ["cluster"], "rep", VERIFIED)
     own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
-    linked = components(dealt(members.join(own, "rep")).mapInArrow(verify, "u long, v long"))
+    linked = components(dealt(members.hint("merge").join(own, "rep")).mapInArrow(verify, "u long, v long"))
 
     named = all_signed.select("doc_id", "key").join(classes.select("key", "rep"), "key", "left")
     named = named.join(linked.withColumnRenamed("id", "rep"), "rep", "left")
@@ -271,6 +271,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, in the columns of `docs`."""
     found = written(near_duplicates(docs), "found")
     gone = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     ids = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
     return out if ids[0] == ids[1] else out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
