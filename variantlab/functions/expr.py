@@ -100,7 +100,7 @@ def tag_effect(tags: Column, target: str) -> Column:
 
 def tag_label(tags: Column) -> Column:
     """P05 without one: the last `label:` value."""
-    labels = F.filter(F.transform(F.split(tags, ","), F.trim), lambda t: t.startswith("label:"))
+    labels = F.filter(F.transform(F.split(tags, ","), lambda t: F.trim(t)), lambda t: t.startswith("label:"))
     return F.substring_index(F.element_at(F.when(F.size(labels) > 0, labels), -1), "label:", -1)
 
 

@@ -52,7 +52,7 @@ def pack_groups(sizes: Iterator[tuple[object, int]], k: int) -> list[tuple[objec
     rows = list(sizes)
     share, out, fold, size = sum(n for _, n in rows) / k, [], 0, 0
     for name, n in rows:
-        if fold < k - 1 and (size >= share or abs(size + n - share) > abs(size - share)):
+        if fold < k - 1 and size and (size >= share or abs(size + n - share) > abs(size - share)):
             fold, size = fold + 1, 0
         out.append((name, fold))
         size += n

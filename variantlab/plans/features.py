@@ -126,7 +126,7 @@ def bias_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def correlated_feature_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = select.pair_statistics(long_features(spark, sf_dir), "vec_id", complete=True)
-    gone = select.correlated_filter(pairs, [f"f{i:02d}" for i in range(64)], 0.2)
+    gone = select.correlated_filter(pairs, [f"f{i:02d}" for i in range(64)], 0.1)
     return spark.createDataFrame([(x,) for x in gone], "feature string")
 
 

@@ -63,7 +63,7 @@ def feature_table(spark: SparkSession, path: str, roles: Roles = PROCESSED, targ
     features = [c for i, c in enumerate(names) if i not in roles.skipped]
     kinds = inferred(rows, features)
     col = lambda i: F.col(f"`{names[i]}`")
-    tags = col(roles.tags) if roles.tags is not None else F.lit(None).cast("string")
+    tags = expr.cell(col(roles.tags)) if roles.tags is not None else F.lit(None).cast("string")
     target = expr.tag_effect(tags, target_tag) if target_tag else expr.as_real(col(roles.target)) if roles.target is not None else expr.tag_label(tags)
     structures = F.coalesce(col(roles.structures).try_cast("int"), F.lit(0)) if roles.structures is not None else F.lit(0)
     typed = [expr.cell(F.col(f"`{c}`")).try_cast(k).alias(c) if k != "string" else expr.cell(F.col(f"`{c}`")).alias(c) for c, k in kinds.items()]
