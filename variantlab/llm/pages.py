@@ -42,7 +42,7 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noembed nofram
 _DROPPED = frozenset("head nav footer aside form button select option datalist template svg canvas object dialog menu audio video".split()) | _RAW
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
+    " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: Elements that end an open paragraph, and what an element of a kind ends among its open siblings.
 _ENDS_P = _BLOCK - {"html", "body", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
