@@ -2,7 +2,8 @@
 and remove the sentences that any non-first occurrence of a repeated run covers.
 
 A sentence ends with a word that ends in `.`, `!` or `?` (quotes and brackets may follow), at a line
-feed, or with the text.  From each sentence a run takes the fewest sentences that are at least
+feed, or with the text.  Since a passage may lie inside one long sentence, a sentence is cut further
+after one in CUT pairs of words, chosen by the pair's hash: copies are cut alike wherever they stand.  From each sentence a run takes the fewest sentences that are at least
 SENTENCES and have at least WORDS words; white space does not count.  First is the occurrence in
 the smallest doc_id, and there the earliest.  Runs are compared by 64-bit values.
 
@@ -25,6 +26,8 @@ from variantlab.llm.arrays import Words, chunks, mix, utf8
 
 #: Fewest sentences and words of a run.
 SENTENCES, WORDS = 2, 20
+#: A sentence is cut after one in so many pairs of words.
+CUT = 6
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -40,20 +43,25 @@ class Sentences:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.words = w = Words(data, offsets)
         n = len(w.start)
+        self.value = np.empty(0, np.uint64)
         last = np.where(_CLOSES[data[w.end - 1]] & (w.end - w.start > 1), w.end - 2, w.end - 1) if n else w.end
         closing = _ENDS[data[last]] if n else np.zeros(0, bool)
         lines = np.concatenate([[0], np.cumsum(data == 10)])
         starts = np.zeros(n + 1, bool)
         starts[w.first] = True
         if n:
-            starts[1:n] |= closing[:-1] | (lines[w.start[1:]] > lines[w.end[:-1]])
+            self.value = w.value
+            cut = np.zeros(n, bool)
+            cut[1:] = mix(self.value[:-1] * np.uint64(3) + self.value[1:]) % np.uint64(CUT) == 0
+            cut[w.first[:-1][np.diff(w.first) > 0]] = False
+            starts[1:n] |= closing[:-1] | cut[:-1] | (lines[w.start[1:]] > lines[w.end[:-1]])
         starts[n] = True
         self.word = np.flatnonzero(starts)
         self.first = np.searchsorted(self.word, w.first)
 
     def runs(self, sentences: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Value, text, first sentence in the text and number of sentences of every run."""
-        value = self.words.value
+        value = self.value
         n = len(value)
         up, down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
         up[1:], down[1:] = np.cumprod(np.full(n, _P, np.uint64)), np.cumprod(np.full(n, _P_INVERSE, np.uint64))
