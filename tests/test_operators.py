@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from variantlab.functions import expr
-from variantlab.operators import alignment, clean, encode, explain, model, select, splits, stats
+from variantlab.operators import alignment, clean, encode, explain, model, report, search, select, splits, stats
 from variantlab.sources import sequences, settings, tables
 from variantlab.streaming import incremental
 
@@ -284,3 +284,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = clean.coverage(spark.createDataFrame(rows, schema), "g")
     assert sorted(map(tuple, spark.table("cover").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_search_and_pairwise_alignment(spark):
+    rows = spark.createDataFrame([("a", "ARNDCQEGHIL"), ("b", "ARNDCQEGHAL"), ("c", "WWWWWWWWW"), ("d", "AR")], "id string, s string")
+    hits = {(r.query, r.target): r.n_shared for r in search.shared_words(rows, rows, "id", "s", 5).collect()}
+    assert hits == {("a", "b"): 5, ("b", "a"): 5}
+    assert search.aligned_pair("ARND", "AND") == ("ARND", "A-ND", 4 - 8 + 6 + 6)
+    assert search.aligned_pair("", "AC")[:2] == ("--", "AC")
+    pairs = spark.createDataFrame([("ARND", "ARND"), (None, "A")], "q_seq string, t_seq string")
+    assert [(r.q_aln, r.t_aln) for r in search.aligned_hits(pairs).collect()] == [("ARND", "ARND"), ("-", "A")]
+
+
+def test_similar_sequences_share_a_fold(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rows = spark.createDataFrame([("a", "ARNDCQEGHIL"), ("b", "ARNDCQEGHAL"), ("c", "WWWWWWFFFFF"), ("d", "MMMMMMKKKKK")], "id string, s string")
+    fold = {r.id: r.fold for r in search.similarity_folds(rows, "id", "s", 2).collect()}
+    assert fold["a"] == fold["b"] != fold["c"] == fold["d"]
+
+
+def test_reports():
+    assert report.OBJECTIVES["mse"].better(0.1, 0.2) and not report.OBJECTIVES["r2"].better(0.1, 0.2) and report.OBJECTIVES["r2"].better(0.1, None)
+    assert report.cross_validated(3, lambda k: 0.5, 0.9) == [0.5] and len(report.cross_validated(3, lambda k: 0.9, 0.9)) == 3
+    assert report.active(["b", "a", "c"], {"c": "g"}, {"g"}) == ["a", "b"] and report.bound("max", 5) == 4.0
+    assert report.estimated_full(0.5, 0.4, 0.45) == pytest.approx(0.55)

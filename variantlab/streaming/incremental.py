@@ -33,9 +33,9 @@ def windowed_means(rows: DataFrame, time: str, by: list[str], target: str, late:
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str):
-    """Writes each version of a running table as a whole; the last complete one is what readers see."""
+    """Writes each version of a running table as a whole, until what is there now is read; the last version is what counts."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+    return stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
