@@ -29,8 +29,11 @@ BOILERPLATE = (
     r"all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|cookie (policy|settings)"
     r"|we use cookies|click here|sign up|log in|subscribe to|follow us|enable javascript|lorem ipsum"
 )
+#: What closes a line; and two sentence ends inside one, which makes it running text even if it breaks off.
 TERMINAL = "[.!?:;…][\"'”’»)\\]]*[\\x20\\x09-\\x0D]*$"
 
+RUNNING = r"[.!?]\x20[^.!?]+[.!?]\x20"
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use` of a value that is computed once."""
@@ -72,7 +75,7 @@ def failing_line(line: Column) -> Column:
     symbols = occurrences(line, SYMBOLS) * 100 > n * MAX_SYMBOLS
     shouting = (n - F.length(F.replace(line, F.lit("!!"), F.lit("")))) * 100 > n * MAX_SHOUTS
     boilerplate = F.lower(line).rlike(BOILERPLATE)
-    return (bare > 0) & (navigation | symbols | shouting | boilerplate | ~line.rlike(TERMINAL))
+    return (bare > 0) & (navigation | symbols | shouting | boilerplate | ~(line.rlike(TERMINAL) | line.rlike(RUNNING)))
 
 
 def measures(text: Column) -> Column:
@@ -134,7 +137,7 @@ l as (select r, list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]
       or (length(x) - length(translate(x, '{SYMBOLS}', ''))) * 100 > length(x) * {MAX_SYMBOLS}
       or (length(x) - length(replace(x, '!!', ''))) * 100 > length(x) * {MAX_SHOUTS}
       or regexp_matches(lower(x), '{BOILERPLATE}')
-      or not regexp_matches(x, '{TERMINAL.replace("'", "''")}')))), chr(10)) as clean from w),
+      or not (regexp_matches(x, '{TERMINAL.replace("'", "''")}') or regexp_matches(x, '{RUNNING}'))))), chr(10)) as clean from w),
 m as (select w.doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint as word_chars,
     (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols,
     (len(wl) - len(list_distinct(wl)))::bigint as n_dup_lines, coalesce(n.n, 0)::bigint as n_repeat_words,
