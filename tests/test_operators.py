@@ -308,3 +308,29 @@ def test_reports():
     assert report.cross_validated(3, lambda k: 0.5, 0.9) == [0.5] and len(report.cross_validated(3, lambda k: 0.9, 0.9)) == 3
     assert report.active(["b", "a", "c"], {"c": "g"}, {"g"}) == ["a", "b"] and report.bound("max", 5) == 4.0
     assert report.estimated_full(0.5, 0.4, 0.45) == pytest.approx(0.55)
+
+
+def test_other_readers(spark, tmp_path):
+    xml = tmp_path / "h.xml"
+    xml.write_text("<Out><Hit><Hit_id>sp|P1|x</Hit_id><Hit_def>d</Hit_def><Hit_len>9</Hit_len><Hit_hsps><Hsp><Hsp_evalue>1e-5</Hsp_evalue><Hsp_hseq>AC-D</Hsp_hseq></Hsp></Hit_hsps></Hit></Out>")
+    assert [tuple(r) for r in tables.blast_hits(spark, str(xml)).collect()] == [("P1", 9, 1e-5, "ACD")]
+    aln = tmp_path / "a.aln"
+    aln.write_text("CLUSTAL\n\nq   AC-\nh   ACD\n    **\n\nq   GG\nh   -G\n")
+    assert [tuple(r) for r in tables.block_alignment(spark, str(aln), "p").orderBy("row_nr").collect()] == [("p", 0, "q", "AC-GG"), ("p", 1, "h", "ACD-G")]
+    assert tables.substitution_matrix("# x\n  A R\nA 4 -1\nR -1 5\n")["A", "R"] == -1.0
+    wanted, stored = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a",)], "id string")
+    assert [r.id for r in tables.missing(wanted, stored, "id").collect()] == ["b"]
+
+
+def test_saved_models(fitted, tmp_path):
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    df, forest = fitted
+    model.saved(forest, str(tmp_path / "m"))
+    again = model.loaded(RandomForestRegressionModel, str(tmp_path / "m"))
+    assert again.transform(df).first().prediction == forest.transform(df).first().prediction
+    info = model.ensemble_info(forest)
+    assert info["trees"] == 5 and info["nodes"] == info["trees"] + 2 * info["splits"]
+    with pytest.raises(ValueError, match="no selection"):
+        model.selected("other", df)
+    assert 0 in model.selected("lasso", df, target="y", exponent=1)

@@ -125,3 +125,16 @@ def reversed_variants(samples: DataFrame, aac: str, target: str, threshold: floa
 def fused(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Both sample sets, the right one's rows where both have a key."""
     return left.join(right.select(*key), key, "left_anti").unionByName(right, allowMissingColumns=True)
+
+
+def two_sides(samples: DataFrame, target: str, threshold: float) -> DataFrame:
+    """`below`, whether the target is under the threshold; NULL stays NULL."""
+    return samples.withColumn("below", F.col(target) < threshold)
+
+
+def upserted(samples: DataFrame, features: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Samples with the named feature columns filled from a feature table; a value that is there stays where the table has none."""
+    new = features.select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = samples.join(new, key, "left")
+    filled = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in samples.columns else F.col(f"_new_{c}") for c in columns}
+    return joined.withColumns(filled).drop(*[f"_new_{c}" for c in columns])

@@ -207,3 +207,33 @@ class Search:
             self.seen += [(fixed | p, v) for p, v in sub.seen[known:]]
             best = max(self.seen, key=lambda s: s[1])
         return best
+
+
+def selected(kind: str, samples: DataFrame, **arguments: Any) -> list[int]:
+    """The features that a named selection keeps: confusion (M04), lasso (M06) or logistic."""
+    if kind == "confusion":
+        return sorted(r.feature for r in confusion_selection(samples, **arguments).where("kept").collect())
+    methods = {"lasso": lasso_selection, "logistic": logistic_selection}
+    if kind not in methods:
+        raise ValueError(f"no selection named {kind!r}; there are confusion, lasso and logistic")
+    return methods[kind](samples, **arguments)
+
+
+def ensemble_info(model: Any) -> dict[str, int]:
+    """Trees, nodes and splits."""
+    nodes = model.totalNumNodes
+    return {"trees": len(model.trees), "nodes": nodes, "splits": (nodes - len(model.trees)) // 2}
+
+
+#: Bounds of the hyperparameters that a search may vary.
+PARAMETERS = {"trees": (5.0, 400.0), "depth": (2.0, 12.0), "rate": (0.01, 0.5), "rounds": (5.0, 200.0)}
+
+
+def saved(model: Any, path: str) -> None:
+    """The model in its library's own format."""
+    model.write().overwrite().save(path)
+
+
+def loaded(kind: type, path: str) -> Any:
+    """A saved model of a class, such as RandomForestRegressionModel."""
+    return kind.load(path)

@@ -135,3 +135,9 @@ def lowest(scores: DataFrame, name: str, score: str, k: int) -> DataFrame:
 def harmful(impacts: DataFrame, threshold: float, name: str = "feature", impact: str = "impact") -> DataFrame:
     """Features whose impact reaches the threshold."""
     return impacts.where(F.col(impact) >= threshold).select(name)
+
+
+def without_most_biased(scores: DataFrame, k: int, name: str = "feature", bias: str = "bias") -> DataFrame:
+    """Features but the k with the largest bias, undefined ones last."""
+    gone = scores.orderBy(F.desc_nulls_last(bias), name).limit(k).select(name)
+    return scores.join(F.broadcast(gone), name, "left_anti")

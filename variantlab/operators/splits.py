@@ -168,3 +168,34 @@ def group_means(train: DataFrame, rows: DataFrame, by: list[str], target: str, n
     """The mean training target of each row's group, or a default where training has none."""
     means = train.groupBy(*by).agg(F.avg(target).alias("_mean"))
     return rows.join(means, by, "left").withColumn(name, F.coalesce("_mean", F.lit(default))).drop("_mean")
+
+
+def sampled_distance_weights(rows: DataFrame, key: list[str], target: str, power: float = 2.0, seed: int = 0) -> DataFrame:
+    """Mean |difference|^power of each distinct target to a sample of min(n, max(100, round(n / 200))) rows.
+
+    The sample's distinct values with their counts meet the distinct values, never rows with rows.
+    """
+    given = rows.where(F.col(target).isNotNull())
+    n = given.count()
+    some = sample_rows(given, key, min(n, max(100, round(0.005 * n))), seed).groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("_n"))
+    values = given.select(target).distinct()
+    d = F.pow(F.abs(F.col(target) - F.col("_t")), F.lit(power))
+    return values.crossJoin(some).groupBy(target).agg((F.sum(d * F.col("_n")) / F.sum("_n")).alias("weight"))
+
+
+def without_groups(rows: DataFrame, group: str, *excluded: DataFrame) -> DataFrame:
+    """Rows whose group is in none of the excluded sets."""
+    gone = excluded[0].select(group)
+    for more in excluded[1:]:
+        gone = gone.union(more.select(group))
+    return rows.join(gone.distinct(), group, "left_anti")
+
+
+def common_groups(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """Distinct groups of both."""
+    return a.select(group).intersect(b.select(group))
+
+
+def full_slice(rows: DataFrame) -> DataFrame:
+    """All rows train."""
+    return rows.withColumn("fold", F.lit(-1))

@@ -136,3 +136,11 @@ def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def mean_scores(scores: DataFrame, columns: list[str], spread: str) -> DataFrame:
     """The mean of each score over records, NULLs left out, and the deviation of one of them (NULL for one record)."""
     return scores.agg(*[F.avg(c).alias(c) for c in columns], F.stddev_samp(spread).alias(f"{spread}_sd"))
+
+
+def score_record(df: DataFrame, true: str, pred: str, group: str) -> DataFrame:
+    """One row with every regression score: n, mse, r2, pearson, spearman, mcc and the mean over groups of |Spearman|."""
+    scores = regression_scores(df, true, pred)
+    rank = spearman(df, true, pred).select(F.col("r").alias("spearman"))
+    groups = mean_group_corr(group_spearman(df, [group], true, pred)).select(F.col("mean_abs_r").alias("mean_spearman"))
+    return scores.crossJoin(rank).crossJoin(matthews(df, true, pred)).crossJoin(groups)

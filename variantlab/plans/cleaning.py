@@ -177,3 +177,12 @@ def support_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("feature"), "value")
     return encode.wide(long, ["event_id"], ["click", "view"])
+
+
+@query("""select e.event_id, coalesce(case when c.event_type = 'click' then c.value end, case when e.event_id % 2 = 0 then e.value end) as x, case when c.event_type = 'click' then c.event_type end as kind, e.value < 1 as below
+  from events e left join events c on c.event_id = e.event_id and c.event_type = 'click'""")
+def feature_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    samples = events.select("event_id", "value", F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("x"))
+    found = events.where("event_type = 'click'").select("event_id", F.col("value").alias("x"), F.col("event_type").alias("kind"))
+    return clean.two_sides(clean.upserted(samples, found, ["event_id"], ["x", "kind"]), "value", 1.0).select("event_id", "x", "kind", "below")

@@ -155,3 +155,9 @@ def cumulative_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("depth", depth)
     out = explain.path_weights(rows, "user_id", "depth", "weight")
     return r6(out.select("event_id", F.log10("weight").alias("weight")), "weight")
+
+
+@query(f"""with m as (select feature, avg(value) as bias from ({LONG}) group by feature) select feature, round(bias, 6) as bias from m qualify row_number() over (order by bias desc, feature) > 5""")
+def without_most_biased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = long_features(spark, sf_dir).groupBy("feature").agg(F.avg("value").alias("bias"))
+    return r6(select.without_most_biased(means, 5), "bias")

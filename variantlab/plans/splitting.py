@@ -130,3 +130,17 @@ def group_mean_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def position_mean_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _train_test(spark, sf_dir)
     return r6(splits.group_means(train, test, ["user_id", "event_type"], "value", "mean_target").select("event_id", "mean_target"), "mean_target")
+
+
+@query(f"select (select count(*) from events where user_id not in (select user_id from {_TEST} s where event_type = 'click') and user_id not in (select user_id from {_TEST} s where event_type = 'view')) as n_left, (select count(*) from (select user_id from {_TRAIN} t intersect select user_id from {_TEST} s)) as n_common")
+def group_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _train_test(spark, sf_dir)
+    left = splits.without_groups(_events(spark, sf_dir), "user_id", test.where("event_type = 'click'"), test.where("event_type = 'view'")).agg(F.count("*").alias("n_left"))
+    return left.crossJoin(splits.common_groups(train, test, "user_id").agg(F.count("*").alias("n_common")))
+
+
+@query(f"""with n as (select count(*) as n from events), s as (select value as t from events order by {_hash('event_id')}, event_id limit (select least(n, greatest(100, round(n * 0.005)))::bigint from n)), v as (select distinct value from events)
+  select value, round(avg((value - t) ** 2), 6) as weight from v, s group by value""")
+def sampled_distance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A23, whose feature is the sample's size."""
+    return r6(splits.sampled_distance_weights(_events(spark, sf_dir), ["event_id"], "value"), "weight")

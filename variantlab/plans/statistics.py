@@ -151,3 +151,15 @@ def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     means = long_features(spark, sf_dir).groupBy("feature").agg(F.avg("value").alias("score"))
     return r6(ranks(means, "feature", "score"), "score", "scaled")
+
+
+@query(f"""with x as ({_PRED}), g as (select o_orderstatus, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ra, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rb,
+    rank() over (partition by o_orderstatus order by y) + (count(*) over (partition by o_orderstatus, y) - 1) / 2.0 as ga, rank() over (partition by o_orderstatus order by p) + (count(*) over (partition by o_orderstatus, p) - 1) / 2.0 as gb from x),
+  m as (select median(y) as my, median(p) as mp from x), k as (select count(*) filter (y >= my and p >= mp)::double as tp, count(*) filter (y < my and p >= mp)::double as fp, count(*) filter (y >= my and p < mp)::double as fn, count(*) filter (y < my and p < mp)::double as tn from x, m),
+  s as (select count(*) as n, avg((y - p) ** 2) as mse, 1 - sum((y - p) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)) as r2, corr(y, p) as pearson from x)
+  select n, round(mse, 2) as mse, round(r2, 6) as r2, round(pearson, 6) as pearson, round((select corr(ra, rb) from g), 6) as spearman,
+    round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) as mcc, round((select avg(abs(c)) from (select corr(ga, gb) as c from g group by o_orderstatus)), 6) as mean_spearman from s, k""")
+def score_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A34."""
+    out = stats.score_record(_predicted(spark, sf_dir), "o_totalprice", "pred", "o_orderstatus")
+    return r6(out, "r2", "pearson", "spearman", "mcc", "mean_spearman").withColumn("mse", F.round("mse", 2))

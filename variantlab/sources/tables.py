@@ -133,3 +133,41 @@ def profile_lines(scores: DataFrame) -> DataFrame:
     cells = F.transform(F.sort_array(F.collect_list(F.struct(F.instr(F.lit(expr.RESIDUES), F.col("aa")).alias("i"), "score"))), lambda s: F.format_string("%+5.3f", s["score"]))
     rows = scores.groupBy("prot_id", "pos").agg(cells.alias("c"), F.max("n_rows").alias("n"))
     return rows.select("prot_id", "pos", F.format_string("%04d %s   %3d", F.col("pos") + 1, F.array_join("c", " "), "n").alias("line"))
+
+
+def blast_hits(spark: SparkSession, path: str) -> DataFrame:
+    """Target, length and hit sequence of each hit of XML search reports."""
+    hits = spark.read.format("xml").option("rowTag", "Hit").schema("Hit_id string, Hit_def string, Hit_len int, Hit_hsps struct<Hsp: array<struct<Hsp_evalue: double, Hsp_hseq: string>>>").load(path)
+    first = F.get("Hit_hsps.Hsp", F.lit(0))
+    return hits.select(F.coalesce(F.get(F.split("Hit_id", r"\|"), F.lit(1)), F.col("Hit_id")).alias("target"), F.col("Hit_len").alias("length"), first["Hsp_evalue"].alias("evalue"), F.replace(first["Hsp_hseq"], F.lit("-"), F.lit("")).alias("tseq"))
+
+
+def block_alignment(spark: SparkSession, path: str, prot_id: str) -> DataFrame:
+    """prot_id, row_nr, seq_id, aligned of a block-wise alignment: lines of a name and residues, a row's blocks in file order."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.col("value").startswith(" ").alias("marks"), parts.alias("p"))
+    lines = lines.where((F.size("p") == 2) & ~F.col("marks")).select("n", F.col("p")[0].alias("seq_id"), F.col("p")[1].alias("part"))
+    rows = lines.groupBy("seq_id").agg(F.min("n").alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda s: s["part"]), "").alias("aligned"))
+    from pyspark.sql import Window
+
+    return rows.select(F.lit(prot_id).alias("prot_id"), (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias("row_nr"), "seq_id", "aligned")
+
+
+def substitution_matrix(text: str) -> dict[tuple[str, str], float]:
+    """Scores by residue pair of a matrix text whose first plain line names the columns."""
+    lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    names = lines[0]
+    return {(row[0], c): float(v) for row in lines[1:] for c, v in zip(names, row[1:])}
+
+
+def results_by_group(spark: SparkSession, path: str, group: str, target: str, prediction: str) -> DataFrame:
+    """Number of rows and Spearman by group of a predictions file."""
+    from variantlab.operators.stats import group_spearman
+
+    rows = text_table(spark, path).select(F.col(f"`{group}`").alias("group"), expr.as_real(F.col(f"`{target}`")).alias("y"), expr.as_real(F.col(f"`{prediction}`")).alias("p"))
+    return group_spearman(rows, ["group"], "y", "p")
+
+
+def missing(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows that a stored table lacks; compute these and append them."""
+    return wanted.join(stored.select(key).distinct(), key, "left_anti")
