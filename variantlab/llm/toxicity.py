@@ -83,31 +83,32 @@ def train(texts: list[str], labels: list[int], epochs: int = 60, rate: float = 0
     weights = np.zeros(1 << BITS)
     if not texts:
         return weights, START
-    parts = []
+    toxic = np.asarray(labels, bool)
+    share = toxic.mean()
+    parts, n, k = [], np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     data, offsets = utf8(pa.array(texts, pa.string()))
     for a, b in chunks(offsets):
-        parts.append(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-    index, sentence, first = [], [], [np.zeros(1, np.int64)]
-    for f in parts:
-        sentence.append(f.sentence + first[-1][-1])
-        first.append(f.first[1:] + first[-1][-1])
-        index.append(f.index)
-    index, sentence, first = np.concatenate(index, axis=1), np.concatenate(sentence), np.concatenate(first)
-    sentences = int(first[-1])
-    document = np.searchsorted(first, np.arange(sentences), "right") - 1
+        f = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        own = np.searchsorted(f.first, f.sentence, "right") - 1
+        pairs = np.unique(own.astype(np.int64)[None, :] << BITS | f.index)
+        n += np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS)
+        k += np.bincount(pairs[toxic[a:b][pairs >> BITS]] & (1 << BITS) - 1, minlength=1 << BITS)
+        parts.append((f.index, f.sentence.astype(np.int32), f.first))
     # a feature is used if toxic documents have it more often than chance would explain
-    pairs = np.unique(document[sentence].astype(np.int64)[None, :] << BITS | index)
-    toxic = np.asarray(labels, bool)
-    n = np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS)
-    k = np.bincount(pairs[toxic[pairs >> BITS]] & (1 << BITS) - 1, minlength=1 << BITS)
-    del pairs
-    share = toxic.mean()
     known = np.flatnonzero((n >= SEEN) & (k - n * share > SIGNIFICANT * np.sqrt(n * share * (1 - share) + 0.25)))
     place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
-    at = place[index].reshape(-1)
-    to = np.broadcast_to(sentence.astype(np.int32), index.shape).reshape(-1)[at >= 0]
-    at = at[at >= 0]
+    at, to, first = [], [], [np.zeros(1, np.int64)]
+    for index, sentence, starts in parts:
+        own = place[index]
+        use = own >= 0
+        at.append(own[use])
+        to.append(np.broadcast_to(sentence, index.shape)[use] + first[-1][-1])
+        first.append(starts[1:] + first[-1][-1])
+    del parts
+    at, to, first = np.concatenate(at), np.concatenate(to), np.concatenate(first)
+    sentences = int(first[-1])
+    document = np.searchsorted(first, np.arange(sentences), "right") - 1
     y = np.asarray(labels, float)[document]
     w, bias = np.zeros(len(known)), START
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
