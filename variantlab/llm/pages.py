@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from variantlab.llm.common import written
+
 #: Fewest pages of a host that share a template subtree, and their least share of the host's pages.
 LEAST, SHARE = 5, 0.3
 
@@ -236,7 +238,9 @@ def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Dat
 def extracted(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = own.join(templates(pages, least, share), "host", "left").select("page_id", "url", "html", "templates")
+    # as a table its size is known: small ones are broadcast, and beside a large one a hot host can be split
+    known = written(templates(pages, least, share), "templates")
+    joined = own.join(known, "host", "left").select("page_id", "url", "html", "templates")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
