@@ -110,9 +110,9 @@ def inverse_frequency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(splits.inverse_frequency(rows, "user_id", "role").select("event_id", "weight"), "weight")
 
 
-@query("with m as (select avg(value) as m, var_pop(value) as v from events) select value, round((value - m) ** 2 + v, 6) as weight from (select distinct value from events), m")
+@query("with m as (select avg(value) as m, var_pop(value) as v from events) select value, round((value - m) ** 2 + v, 3) as weight from (select distinct value from events), m")
 def distance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(splits.distance_weights(_events(spark, sf_dir), "value"), "weight")
+    return splits.distance_weights(_events(spark, sf_dir), "value").withColumn("weight", F.round("weight", 3))
 
 
 @query("with c as (select l_quantity as q, count(*) as n from lineitem group by 1) select a.q as l_quantity, round(sum(abs(a.q - b.q) * b.n) / sum(b.n), 6) as weight from c a, c b group by 1")
