@@ -30,7 +30,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.report(table(spark, sf_dir, "documents"))
+    return substrings.report(table(spark, sf_dir, "documents"), substrings.WINDOW)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

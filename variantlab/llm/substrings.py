@@ -2,10 +2,17 @@
 and remove the sentences that any non-first occurrence of a repeated run covers.
 
 A sentence ends with a word that ends in `.`, `!` or `?` (quotes and brackets may follow), at a line
-feed, or with the text.  Since a passage may lie inside one long sentence, a sentence is cut further
-after one in CUT pairs of words, chosen by the pair's hash: copies are cut alike wherever they stand.  From each sentence a run takes the fewest sentences that are at least
-SENTENCES and have at least WORDS words; white space does not count.  First is the occurrence in
-the smallest doc_id, and there the earliest.  Runs are compared by 64-bit values.
+feed, or with the text.  Since a passage may lie inside one long sentence, a sentence is cut further:
+of every WINDOW neighbouring pairs of words in a text the one of the least hash is a cut, and where one
+of them ends a sentence, that is its cut.  So copies are cut alike wherever they stand, and no part is
+longer than WINDOW words.  From each sentence a run takes the fewest sentences that are at least
+SENTENCES and have at least WORDS words, and to each sentence's end the fewest before it; white space
+does not count.  Of words that two places share in a row and that lines break alike, at least
+WORDS + 2 * WINDOW, all but at most WINDOW at either end are in common runs.  First is the occurrence
+in the smallest doc_id, and there the earliest.  Runs are compared by 64-bit values.
+
+window=0 is the rule before that: a sentence is cut after one in CUT pairs of words, and runs are taken
+from starts only.  It leaves ends of passages in the text; only `report` still has it as its default.
 
 The first document of a run is the minimum of its doc_ids, summed up before rows are shuffled; the
 join back is a plain equi-join, which adaptive execution splits where one passage is in a third of
@@ -26,7 +33,9 @@ from variantlab.llm.arrays import Words, chunks, mix, utf8
 
 #: Fewest sentences and words of a run.
 SENTENCES, WORDS = 2, 20
-#: A sentence is cut after one in so many pairs of words.
+#: Neighbouring pairs of words of which one is a cut, so the most words of a part.
+WINDOW = 8
+#: With window=0, a sentence is cut after one in so many pairs of words.
 CUT = 6
 
 _ENDS = np.zeros(256, bool)
@@ -37,10 +46,29 @@ _P = 0xD1342543DE82EF95
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
 
+def _least(pair: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Whether a pair (of words i and i + 1) is the least, or the last of equal ones, of some `window` neighbours in one text."""
+    out = np.zeros(len(pair), bool)
+    if len(pair) < window:
+        return out
+    size = np.diff(first)
+    most = np.repeat(first[1:], size)[: len(pair)] - 1  # pairs from here on aren't in the text of word i
+    starts = np.flatnonzero(np.arange(len(pair)) + window <= most)
+    best, value = starts.copy(), pair[starts]
+    for k in range(1, window):
+        other = pair[starts + k]
+        less = other <= value
+        best[less] = starts[less] + k
+        value = np.minimum(value, other)
+    out[best] = True
+    return out
+
+
 class Sentences:
     """Sentences of some texts: `word` is the first word of each (and the end), `first` the first sentence of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> None:
+        self.window = window
         self.words = w = Words(data, offsets)
         n = len(w.start)
         self.value = np.empty(0, np.uint64)
@@ -52,9 +80,15 @@ class Sentences:
         if n:
             self.value = w.value
             cut = np.zeros(n, bool)
-            cut[1:] = mix(self.value[:-1] * np.uint64(3) + self.value[1:]) % np.uint64(CUT) == 0
+            pair = mix(self.value[:-1] * np.uint64(3) + self.value[1:])
+            if window:
+                pair[closing[:-1]] = 0
+                cut[1:] = _least(pair, w.first, window)
+            else:
+                cut[1:] = pair % np.uint64(CUT) == 0
             cut[w.first[:-1][np.diff(w.first) > 0]] = False
-            starts[1:n] |= closing[:-1] | cut[:-1] | (lines[w.start[1:]] > lines[w.end[:-1]])
+            # a cut stands before its pair's second word; without a window, after it
+            starts[1:n] |= closing[:-1] | (cut[1:] if window else cut[:-1]) | (lines[w.start[1:]] > lines[w.end[:-1]])
         starts[n] = True
         self.word = np.flatnonzero(starts)
         self.first = np.searchsorted(self.word, w.first)
@@ -71,18 +105,25 @@ class Sentences:
         at = np.arange(len(text))
         end = np.maximum(at + sentences, np.searchsorted(self.word, self.word[:-1][at] + words))
         fits = end <= self.first[1:][text]
-        at, end, text = at[fits], end[fits], text[fits]
+        if self.window:
+            stop = at + 1  # of each sentence, where also the shortest run before it ends
+            start = np.minimum(stop - sentences, np.searchsorted(self.word, self.word[stop] - words, "right") - 1)
+            more = start >= self.first[:-1][text]
+            more[more] = end[start[more]] != stop[more]  # else it is a run from its start as well
+            at, end, text = np.concatenate([at[fits], start[more]]), np.concatenate([end[fits], stop[more]]), np.concatenate([text[fits], text[more]])
+        else:
+            at, end, text = at[fits], end[fits], text[fits]
         a, b = self.word[at], self.word[end]
         values = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
         return values, text, at - self.first[text], end - at
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], sentences: int, words: int) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch], sentences: int, words: int, window: int) -> Iterator[pa.RecordBatch]:
     """h, doc_id, at (first sentence and number of sentences), later (an equal run stands before it in its text)."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for a, b in chunks(offsets):
-            found = Sentences(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found = Sentences(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window)
             values, text, at, n = found.runs(sentences, words)
             order = np.lexsort((at, values, text))
             same = np.zeros(len(values), bool)
@@ -94,19 +135,19 @@ def _occurrences(batches: Iterator[pa.RecordBatch], sentences: int, words: int)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), ids, pa.array((at << 20 | n).astype(np.int64)), pa.array(later)], ["h", "doc_id", "at", "later"])
 
 
-def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id and `spans` (array of long: first sentence << 20 | number of sentences) of documents with non-first repeated runs."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    occurrences = rows.mapInArrow(lambda x: _occurrences(x, sentences, words), "h long, doc_id long, at long, later boolean")
+    occurrences = rows.mapInArrow(lambda x: _occurrences(x, sentences, words, window), "h long, doc_id long, at long, later boolean")
     shared = occurrences.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low")
     found = occurrences.join(shared.hint("merge"), "h", "left").where("later or doc_id > low")
     return found.groupBy("doc_id").agg(F.collect_set("at").alias("spans"))
 
 
-def cut(text: str, spans: list[int]) -> tuple[str, int]:
+def cut(text: str, spans: list[int], window: int = WINDOW) -> tuple[str, int]:
     """The text without the sentences that spans cover, and how many those are."""
     data = np.frombuffer(text.encode(), np.uint8)
-    found = Sentences(data, np.array([0, len(data)]))
+    found = Sentences(data, np.array([0, len(data)]), window)
     n = len(found.word) - 1
     steps = np.zeros(n + 1, np.int64)
     for span in spans:
@@ -123,9 +164,9 @@ def cut(text: str, spans: list[int]) -> tuple[str, int]:
     return data[keep].tobytes().decode().rstrip(" \t\n\v\f\r"), int(gone.sum())
 
 
-def removed_passages(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def removed_passages(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = WINDOW) -> DataFrame:
     """`docs` without repeated passages in `text` (`n_chars` follows), with s_removed, the number of sentences taken out."""
-    spans = repeated(docs, sentences, words).withColumnsRenamed({"doc_id": "s_doc_id", "spans": "s_spans"})
+    spans = repeated(docs, sentences, words, window).withColumnsRenamed({"doc_id": "s_doc_id", "spans": "s_spans"})
     joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("s_doc_id"), "left").drop("s_doc_id")
     schema = docs.limit(0).schema.add("s_removed", "long")
 
@@ -139,7 +180,7 @@ def removed_passages(docs: DataFrame, sentences: int = SENTENCES, words: int = W
                 texts = columns["text"].to_pylist()
                 lengths = columns["n_chars"].to_pylist() if "n_chars" in columns else None
                 for i in touched:
-                    texts[i], count[i] = cut(texts[i], spans[i].as_py())
+                    texts[i], count[i] = cut(texts[i], spans[i].as_py(), window)
                     if lengths is not None and count[i]:
                         lengths[i] = len(texts[i])
                 columns["text"] = pa.array(texts, columns["text"].type)
@@ -150,7 +191,7 @@ def removed_passages(docs: DataFrame, sentences: int = SENTENCES, words: int = W
     return joined.select(*docs.columns, "s_spans").mapInArrow(run, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, window: int = 0) -> DataFrame:
     """doc_id, n_removed (sentences taken out), n_chars (of what is left) and text (what is left)."""
-    out = removed_passages(docs.select("doc_id", "text"))
+    out = removed_passages(docs.select("doc_id", "text"), window=window)
     return out.select("doc_id", F.col("s_removed").alias("n_removed"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "text")
