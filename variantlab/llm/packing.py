@@ -2,8 +2,10 @@
 
 Pieces are dealt to groups by a hash of their place, each group is packed best-fit, largest first,
 and a local search then exchanges pieces between underfull bins (moves, one for one, two for one)
-so that the squared fill rises and the emptiest bins empty.  Bins that stay well short of full go
-to the next, much smaller level, which is packed alike, until one group is left.
+so that the squared fill rises and the emptiest bins empty.  The emptiest bins of each group, with at most
+GROUP / PASSED pieces, go to the next level, which so has at most about a PASSED-th of the pieces
+however badly they fit; it is packed alike, until one group is left.  A group has about GROUP pieces at
+every level.  Other bins are final: pieces are dealt by hash, so what fits together is in each group.
 
 A null text is empty: one piece, the end token.  A text longer than a sequence is cut, the first
 piece taking the remainder.  Repeated rows are pieces of their own.  Groups are dealt by a hash of
@@ -28,8 +30,8 @@ from variantlab.llm.common import removed, written
 
 #: Tokens of a sequence, the id that ends a document, pieces of a group.
 LENGTH, END, GROUP = 1024, 2, 16_384
-#: Bins filled less than this go to the next level.
-NEARLY = 0.99
+#: Bins filled less than this go to the next level, the emptiest first, at most a group's size through this in pieces.
+NEARLY, PASSED = 0.99, 8
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -164,19 +166,25 @@ class Bins:
                     return
 
 
-def _packed_group(capacity: int, level: int, last: bool):
+def _packed_group(capacity: int, level: int, last: bool, most: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece"], ignore_index=True)
         bins = Bins(rows["length"].tolist(), capacity)
         bins.pack()
         bins.search(400)
+        passed, left = set(), most
+        for b in sorted((b for b, n in enumerate(bins.fill) if 0 < n < NEARLY * capacity), key=lambda b: bins.fill[b]):
+            left -= len(bins.content[b])
+            if last or left < 0:
+                break
+            passed.add(b)
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         open_ = np.zeros(len(rows), bool)
         for b, items in enumerate(bins.content):
             at = 0
             for item in items:
                 sequence[item], offset[item] = (level << 56) + (int(key[0]) << 20) + b, at
-                open_[item] = not last and bins.fill[b] < NEARLY * capacity
+                open_[item] = b in passed
                 at += bins.sizes[item]
         return rows.drop(columns="grp").assign(sequence_id=sequence, offset=offset, open=open_)
 
@@ -192,15 +200,14 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, group
         last = groups <= 1
         cell = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(max(groups, 1))).alias("grp")
         out_schema = out_schema or rest.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long, open boolean"
-        level_rows = written(rest.select("*", cell).groupBy("grp").applyInPandas(_packed_group(length, level, last), out_schema), "packed")
+        level_rows = written(rest.select("*", cell).groupBy("grp").applyInPandas(_packed_group(length, level, last, group // PASSED), out_schema), "packed")
         done.append(level_rows.where("not open").drop("open"))
         if last:
             break
         removed(rest) if level == 0 else None
         rest = level_rows.where("open").drop("open", "sequence_id", "offset")
         still = rest.count()
-        # a level that hardly shrinks is followed by one of larger groups
-        group, left, level = (group if still < 0.5 * left else group * 2), still, level + 1
+        left, level = still, level + 1
         if not still:
             break
     out = done[0]
