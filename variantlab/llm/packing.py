@@ -2,7 +2,8 @@
 
 Pieces are dealt to groups by a hash of their place, each group is packed best-fit, largest first,
 and a local search then exchanges pieces between underfull bins (moves, one for one, two for one)
-so that the squared fill rises and the emptiest bins empty.  The emptiest bins of each group, with at most
+so that the squared fill rises and the emptiest bins empty, until no underfull bin has an exchange or
+the group has as few bins as any packing of it.  The emptiest bins of each group, with at most
 GROUP / PASSED pieces, go to the next level, which so has at most about a PASSED-th of the pieces
 however badly they fit; it is packed alike, until one group is left.  A group has about GROUP pieces at
 every level.  Other bins are final: pieces are dealt by hash, so what fits together is in each group.
@@ -120,50 +121,146 @@ class Bins:
                 self._place(b)
             self.add(b, item)
 
-    def exchange(self, low: int) -> bool:
-        """One improving exchange between the bin `low` and a bin at least as full; False if there is none."""
+    def _sums(self, b: int) -> tuple[int, int]:
+        """Bit s is set if the bin has a piece, or two pieces, of s tokens."""
+        if b not in self._known:
+            own = [self.sizes[y] for y in self.content[b]]
+            one = two = 0
+            for k, y in enumerate(own):
+                one |= 1 << y
+                for z in own[:k]:
+                    two |= 1 << (y + z)
+            self._known[b] = one, two
+        return self._known[b]
+
+    def _roomy(self, r: int) -> tuple[int, int]:
+        """The same of all bins with free room r."""
+        if r not in self._known_room:
+            one = two = 0
+            for b in self.room[r]:
+                x, y = self._sums(b)
+                one, two = one | x, two | y
+            self._known_room[r] = one, two
+        return self._known_room[r]
+
+    def _changed(self, b: int) -> None:
+        self._known.pop(b, None)
+        self.log.append(b)
+
+    @staticmethod
+    def _gain(out: tuple[list[int], list[int]], sums: tuple[int, int], r: int) -> tuple[int, int, int]:
+        """The largest gain of at most r of out against less: gain, pieces out, pieces back."""
+        best = (0, 0, 0)
+        for given, taken in ((0, 0), (0, 1), (1, 0)):
+            for x in out[given]:
+                least = max(x - r, 1)
+                rest = sums[taken] >> least & (1 << max(x - least, 0)) - 1
+                if rest:
+                    best = max(best, (x - least - (rest & -rest).bit_length() + 1, given + 1, taken + 1))
+        return best
+
+    def _pieces(self, b: int, count: int, total: int) -> tuple[int, ...]:
+        own, seen = self.content[b], {}
+        for y in own:
+            if count == 1 and self.sizes[y] == total:
+                return (y,)
+            if count == 2 and total - self.sizes[y] in seen:
+                return (seen[total - self.sizes[y]], y)
+            seen[self.sizes[y]] = y
+        raise KeyError(total)
+
+    def _shift(self, items: tuple[int, ...], a: int, b: int) -> None:
+        for bin_ in (a, b):
+            self._known_room.pop(self.capacity - self.fill[bin_], None)
+        for item in items:
+            self.take(a, item)
+            self.add(b, item)
+        for bin_ in (a, b):
+            self._known_room.pop(self.capacity - self.fill[bin_], None)
+            self._changed(bin_)
+        if not self.content[a]:
+            self._lift(a)  # empty for good
+
+    def exchange(self, low: int, since: int = 0) -> bool:
+        """One improving exchange between the bin `low` and a bin at least as full, changed since that place of the log; False if there is none."""
         for x in sorted(self.content[low], key=lambda i: -self.sizes[i]):
             b = self.best(self.sizes[x], other=low)
-            if b >= 0 and self.fill[b] + self.sizes[x] >= self.fill[low]:
-                self.take(low, x)
-                self.add(b, x)
+            if b >= 0 and self.fill[b] + self.sizes[x] > self.fill[low]:
+                self._shift((x,), low, b)
                 return True
-        for r in sorted(r for r, bins in self.room.items() if bins and 0 < r):
-            for b in self.room[r]:
-                if b == low or self.fill[b] < self.fill[low]:
+        own = sorted({self.sizes[x] for x in self.content[low]})
+        one, two = self._sums(low)
+        out = (own, [s for s in range(two.bit_length()) if two >> s & 1])
+        most = self.capacity - self.fill[low]
+        if since:
+            rooms = defaultdict(set)
+            for b in set(self.log[since:]):
+                if self.content[b]:
+                    rooms[self.capacity - self.fill[b]].add(b)
+        else:
+            rooms = self.room
+        for r in sorted(r for r, bins in rooms.items() if bins and 0 < r <= most):
+            if not since and not self._gain(out, self._roomy(r), r)[0]:
+                continue
+            for b in sorted(rooms[r]):
+                if b == low:
                     continue
-                own = {self.sizes[y]: y for y in self.content[b]}
-                pairs = {self.sizes[y] + self.sizes[z]: (y, z) for k, y in enumerate(self.content[b]) for z in self.content[b][:k]}
-                out = self.content[low]
-                gains = [(self.sizes[x] - s, (x,), (y,)) for x in out for s, y in own.items()]
-                gains += [(self.sizes[x] - s, (x,), yz) for x in out for s, yz in pairs.items()]
-                gains += [(self.sizes[x] + self.sizes[z] - s, (x, z), (y,)) for k, x in enumerate(out) for z in out[:k] for s, y in own.items()]
-                gain, give, get = max((g for g in gains if 0 < g[0] <= r), default=(0, (), ()))
+                gain, given, taken = self._gain(out, self._sums(b), r)
                 if gain:
-                    for x in give:
-                        self.take(low, x)
+                    sums = self._sums(b)[taken - 1]
+                    give_total = next(x for x in out[given - 1] if x > gain and sums >> (x - gain) & 1)
+                    give, get = self._pieces(low, given, give_total), self._pieces(b, taken, give_total - gain)
+                    for room in (most, r):
+                        self._known_room.pop(room, None)
+                    for y in give:
+                        self.take(low, y)
                     for y in get:
                         self.take(b, y)
                         self.add(low, y)
-                    for x in give:
-                        self.add(b, x)
+                    for y in give:
+                        self.add(b, y)
+                    for bin_ in (low, b):
+                        self._known_room.pop(self.capacity - self.fill[bin_], None)
+                        self._changed(bin_)
                     return True
         return False
 
-    def search(self, steps: int) -> None:
-        """Exchanges from the emptiest bin while they help; each raises the squared fill, so it ends. `steps` bounds the time."""
-        stuck: set[int] = set()
-        for _ in range(steps):
-            free = [b for b, n in enumerate(self.fill) if 0 < n < self.capacity and b not in stuck]
-            if len(free) < 2:
-                return
-            low = min(free, key=lambda b: self.fill[b])
-            if self.exchange(low):
-                stuck.clear()
-            elif self.content[low]:
-                stuck.add(low)
-                if len(stuck) > 3:
-                    return
+    def least(self) -> int:
+        """No packing has fewer bins (Martello and Toth's bound): pieces over half are apart, and the rest only fits beside some."""
+        count = np.bincount(self.sizes, minlength=self.capacity + 1)
+        tokens, half = count * np.arange(len(count)), self.capacity // 2
+        n, t = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(tokens)])
+        k = np.arange(half + 1)  # pieces under k are left out
+        apart = n[-1] - n[half + 1]
+        middle, beside = n[self.capacity - k + 1] - n[half + 1], t[self.capacity - k + 1] - t[half + 1]
+        small = t[half + 1] - t[k]
+        return int((apart + np.maximum(0, -((middle * self.capacity - beside - small) // self.capacity))).max())
+
+    def search(self, steps: int | None = None) -> None:
+        """Exchanges, emptiest bins first, until no underfull bin has one or no packing has fewer bins.
+
+        Each raises the squared fill, so it ends.  A bin that had none is held only against bins that
+        changed since.  `steps` stops it earlier.
+        """
+        for b, n in enumerate(self.fill):
+            if not n:
+                self._lift(b)
+        self.log, self._known, self._known_room = [-1], {}, {}
+        least, used, done, stuck = self.least(), sum(n > 0 for n in self.fill), 0, {}
+        moved = True
+        while moved:
+            moved = False
+            for low in sorted((b for b, n in enumerate(self.fill) if 0 < n < self.capacity), key=lambda b: self.fill[b]):
+                while self.content[low] and self.fill[low] < self.capacity:
+                    if used <= least or steps is not None and done >= steps:
+                        return
+                    at = len(self.log)
+                    if not self.exchange(low, stuck.get(low, 0)):
+                        stuck[low] = at
+                        break
+                    for b in self.log[at:]:
+                        stuck.pop(b, None)  # it has other pieces now
+                    moved, done, used = True, done + 1, used - (not self.content[low])
 
 
 def _packed_group(capacity: int, level: int, last: bool, most: int):
@@ -171,7 +268,7 @@ def _packed_group(capacity: int, level: int, last: bool, most: int):
         rows = rows.sort_values(["doc_id", "piece"], ignore_index=True)
         bins = Bins(rows["length"].tolist(), capacity)
         bins.pack()
-        bins.search(400)
+        bins.search()
         passed, left = set(), most
         for b in sorted((b for b, n in enumerate(bins.fill) if 0 < n < NEARLY * capacity), key=lambda b: bins.fill[b]):
             left -= len(bins.content[b])
