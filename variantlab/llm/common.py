@@ -1,39 +1,15 @@
-"""Tables between stages, groups cut into blocks, and connected components."""
+"""Groups cut into blocks; tables between stages and connected components are those of `variantlab.tables`."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    shared = shared or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing before it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def removed(df: DataFrame) -> None:
-    """Deletes the table of a `written` result that nothing needs any more."""
-    path = getattr(df, "_written", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+from variantlab.tables import components, removed, scratch, written  # noqa: F401
 
 
 def in_blocks(members: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
@@ -96,34 +72,6 @@ def roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return ids[touched], ids[label[touched]]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components: rows (id, component) of every id in `edges` (u, v: long), component its smallest id.
-
-    Alternates the large-star and the small-star step (Kiveris et al. 2014) on tables in the shared
-    folder.  Rows never outgrow the edges, and a vertex with very many neighbours is only a join
-    key, which adaptive execution splits.
-    """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = written(edges, "edges"), None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        removed(edges)
-        edges = after
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ends.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
 def text_key(text: Column) -> Column:
     """What equal texts share; a null is an empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variantlab.functions.expr import RESIDUES, blosum
+from variantlab.tables import components, written
 
 
 def kmers(rows: DataFrame, name: str, sequence: str, k: int = 5) -> DataFrame:
@@ -75,27 +76,41 @@ def aligned_hits(pairs: DataFrame, query: str = "q_seq", target: str = "t_seq",
     return pairs.mapInPandas(run, schema)
 
 
-def similarity_folds(rows: DataFrame, name: str, sequence: str, k_folds: int, word: int = 5, least: int = 2, rounds: int = 30) -> DataFrame:
+#: Clusters that are placed one by one.
+LARGEST = 1000
+#: Mean number of clusters of a slice of the others.
+SLICE = 100_000
+
+
+def similarity_folds(rows: DataFrame, name: str, sequence: str, k_folds: int, word: int = 5, least: int = 2) -> DataFrame:
     """X05, approximately: `fold` such that sequences which share words, directly or by others, are in one fold.
 
-    Clusters by the smallest name that shared words reach; the larger clusters go first to the
-    emptiest fold.  The cluster table has a row per cluster.
+    Clusters go by the smallest name that shared words reach over any number of links.  The LARGEST
+    clusters go first to the emptiest fold, larger ones first; the others, in order of a hash, fill up
+    what the folds lack of an equal share, by a running total over slices.
     """
-    links = shared_words(rows, rows, name, sequence, word, least, 1 << 30).select(F.col("query").alias("a"), F.col("target").alias("b"))
-    links = links.union(rows.select(F.col(name).alias("a"), F.col(name).alias("b"))).checkpoint()
-    label = rows.select(F.col(name).alias("b"), F.col(name).alias("cluster"))
-    before = None
-    for _ in range(rounds):
-        label = links.join(label, "b").groupBy("a").agg(F.min("cluster").alias("cluster")).withColumnRenamed("a", "b").checkpoint()
-        now = label.agg(F.bit_xor(F.xxhash64("b", "cluster"))).first()[0]
-        if now == before:
-            break
-        before = now
-    sizes = label.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster")
+    links = shared_words(rows, rows, name, sequence, word, least, 1 << 30).select(F.col("query").alias("u"), F.col("target").alias("v"))
+    reached = components(links).select(F.col("id").alias(name), F.col("component").alias("_c"))
+    label = written(rows.select(name).distinct().join(reached, name, "left").select(name, F.coalesce("_c", name).alias("cluster")), "label")
+    sizes = written(label.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    clusters, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     load, fold = [0] * k_folds, []
-    for r in sizes.toLocalIterator():
+    for r in sizes.orderBy(F.desc("n"), "cluster").limit(LARGEST).collect():
         at = min(range(k_folds), key=lambda i: load[i])
         load[at] += r.n
         fold.append((r.cluster, at))
     folds = rows.sparkSession.createDataFrame(fold, f"cluster {rows.schema[name].dataType.simpleString()}, fold int")
-    return label.withColumnRenamed("b", name).join(folds, "cluster")
+    if clusters > LARGEST:
+        # the level to which the others fill the emptier folds
+        up, rest = sorted(load), total - sum(load)
+        level = min((rest + sum(up[:m])) / m for m in range(1, k_folds + 1))
+        edges = [sum(max(0, level - load[j]) for j in range(i + 1)) for i in range(k_folds - 1)]
+        h = F.xxhash64("cluster")
+        sliced = sizes.join(folds, "cluster", "left_anti").select("cluster", "n", h.alias("_h"), F.pmod(h, F.lit(-(-clusters // SLICE))).alias("_s"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sliced.groupBy("_s").agg(F.sum("n").alias("_n")).select("_s", before.alias("_before"))
+        own = F.sum("n").over(Window.partitionBy("_s").orderBy("_h", "cluster").rowsBetween(Window.unboundedPreceding, 0))
+        place = sliced.withColumn("_own", own).join(F.broadcast(starts), "_s").withColumn("_at", F.col("_before") + F.col("_own") - F.col("n") / 2)
+        others = place.select("cluster", sum((F.when(F.col("_at") > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int").alias("fold"))
+        folds = folds.union(others)
+    return label.join(folds, "cluster")
