@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or where that is unset, on one machine only, one in the warehouse."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    shared = shared or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    if not shared and spark.sparkContext.master.startswith("local["):
+        shared = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    if not shared:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,28 +36,41 @@ def removed(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+#: A vertex with more than a share of 1 / HOT of all edge ends has its minimum broadcast: there are fewer than HOT of them.
+HOT = 1000
+
+
+def _with_low(rows: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """`rows` with `m` of their `u` from `low` (u, m, n), where at most `HOT` vertices have n > most: those never meet in one task."""
+    hot = F.broadcast(low.where(F.col("n") > most).select("u", "m"))
+    rest = rows.join(F.broadcast(low.where(F.col("n") > most).select("u")), "u", "left_anti")
+    return rows.join(hot, "u").unionByName(rest.join(low.where(F.col("n") <= most).select("u", "m"), "u"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: rows (id, component) of every id in `edges` (u, v: of one type that has an order), component its smallest id.
 
     Alternates the large-star and the small-star step (Kiveris et al. 2014) on tables in the shared
-    folder.  Rows never outgrow the edges, and a vertex with very many neighbours is only a join
-    key, which adaptive execution splits.
+    folder.  Rows never outgrow the edges; minima are summed up before rows are shuffled, and the few
+    vertices with very many neighbours get theirs by a broadcast of fewer than HOT rows.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = written(edges, "edges"), None
+    count = edges.count()
     for _ in range(rounds):
+        most = 2 * count // HOT
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_low(both.where("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, least, most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         removed(edges)
         edges = after
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
-        before = now
+        before, count = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
