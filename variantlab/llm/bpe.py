@@ -5,8 +5,11 @@ between the two is certain.  Texts are cut at all such pairs (where the cut leav
 pattern's matches alone as well), the fragments are encoded independently, and their ids are
 concatenated.  Fragments repeat far more than texts do, so each task keeps a bounded cache of them.
 
-Null texts are empty and have no ids.  Very long texts are cut like others, in linear time.
-Repeated rows are encoded row by row.  Nothing is shuffled.
+Null texts are empty and have no ids.  Very long texts are cut like others; a long run of white space,
+on which the splitting pattern would look ahead without end, is a match of its own and goes to the
+merges directly.  Repeated rows are encoded row by row, an empty table gives an empty result, and
+other columns, whatever their names, are not read (`encoded` and `decoded` keep them, but for one
+named like their result).  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from pyspark.sql import types as T
 
 from variantlab.llm.arrays import SPACE, chunks, utf8
 
-#: Fragments that a task keeps; further ones are encoded each time.
-CACHE = 400_000
+#: Fragments that a task keeps, and the most bytes of one; further and longer ones are encoded each time.
+CACHE, KEPT = 400_000, 64
 
-#: White space other than the ASCII kinds: a text with any is one fragment, as cuts beside it aren't certain.
-_WIDE_SPACE = regex.compile("[\x85\xa0  -     　]")
+#: The pattern that byte-level vocabularies split by, as the vocabulary file's `use_regex` names it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space from so many characters on is encoded without the pattern.
+_LONG_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}+")
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,6 +56,9 @@ class Encoder:
     def __init__(self, path: str, cache: int = CACHE) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        if before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space") or spec["normalizer"]:
+            raise ValueError(f"not a plain byte-level vocabulary: {path}")
         byte = _byte_of()
         raw = lambda token: bytes(byte[c] for c in token)
         vocabulary = {raw(t): i for t, i in spec["model"]["vocab"].items()}
@@ -61,8 +69,7 @@ class Encoder:
         merged = [raw(a) + raw(b) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
         order = [*single, *merged]
         self.ids = np.array([vocabulary[t] for t in order], "<u4")
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.merge = tiktoken.Encoding("fragments", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
+        self.merge = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
         self.tokens = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = token
@@ -84,12 +91,33 @@ class Encoder:
         certain[:, 0x27] = False  # an apostrophe may join what follows it
         return certain.reshape(-1)
 
+    def _cuts(self, block: np.ndarray) -> np.ndarray:
+        """Places of all certain cuts in some bytes."""
+        sure = self.certain[block[:-1].astype(np.uint16) << 8 | block[1:]]
+        if len(block) > 1 and int(block.max()) >= 0x80:  # the pattern looks ahead from wide spaces too
+            a, b, c = block[:-2], block[1:-1], block[2:]
+            two = np.flatnonzero((block[:-1] == 0xC2) & ((block[1:] == 0x85) | (block[1:] == 0xA0))) + 1
+            quad = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+            other = (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE1) & (b == 0xA0) & (c == 0x8E) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+            ends = np.concatenate([two, np.flatnonzero(quad | other) + 2])
+            sure[ends[ends < len(sure)]] = False
+        return np.flatnonzero(sure) + 1
+
     def fragment(self, piece: bytes) -> bytes:
         """The ids of a fragment as little-endian unsigned 32-bit integers."""
-        out = self.ids[self.merge.encode_ordinary(piece.decode())].tobytes()
-        if len(self.known) < self.cache:
-            self.known[piece] = out
-        return out
+        if len(piece) <= KEPT:
+            out = self.ids[self.merge.encode_ordinary(piece.decode())].tobytes()
+            if len(self.known) < self.cache:
+                self.known[piece] = out
+            return out
+        text, at, out = piece.decode(), 0, []
+        for m in _LONG_SPACE.finditer(text):
+            out += self.merge.encode_ordinary(text[at : m.start()])
+            # the last of the run goes with what follows it
+            at = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.merge._core_bpe.encode_single_piece(text[m.start() : at].encode())
+        out += self.merge.encode_ordinary(text[at:])
+        return self.ids[out].tobytes()
 
     def _plain(self, text: bytes, cuts: list[int]) -> bytes:
         known, fragment = self.known, self.fragment
@@ -112,11 +140,9 @@ class Encoder:
         for a, b in chunks(offsets):
             block = data[offsets[a] : offsets[b]]
             whole, edges = block.tobytes(), (offsets[a : b + 1] - offsets[a]).tolist()
-            pairs = block[:-1].astype(np.uint16) << 8 | block[1:]
-            cuts = np.flatnonzero(self.certain[pairs]) + 1
+            cuts = self._cuts(block)
             at = np.searchsorted(cuts, np.array(edges), "left").tolist()
             cuts = cuts.tolist()
-            ascii_only = not len(block) or int(block.max()) < 0x80
             for i in range(b - a):
                 start, end = edges[i], edges[i + 1]
                 text = whole[start:end]
@@ -126,8 +152,6 @@ class Encoder:
                     out.append(self.special[text.decode()])
                 elif not text:
                     out.append(b"")
-                elif not ascii_only and _WIDE_SPACE.search(text.decode()):
-                    out.append(self.ids[self.merge.encode_ordinary(text.decode())].tobytes())
                 else:
                     own = [c - start for c in cuts[at[i] : at[i + 1]] if c > start]
                     out.append(self._plain(text, [0, *own, end - start]))

@@ -46,8 +46,12 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows of a cell in one partition, next to each other."""
-    return df.repartition("cell").sortWithinPartitions("cell")
+    """Rows of a cell in one partition, next to each other.
+
+    The number is stated: cells cost time and not bytes, by which partitions would be put together.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "cell").sortWithinPartitions("cell")
 
 
 def roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,9 +5,11 @@ shingle, all of it.  Its weight is its count in the text times its idf, 1 + ln(m
 between 1 for a shingle of all texts and 2 for one of at most N / R texts.  Two texts are linked if
 their weighted Jaccard similarity, the sum of the smaller weights over that of the larger, is 0.8 or more.
 
-1. Frequent shingles: what at least one in R texts has must reach that share in some block of texts,
-   so blocks name candidates and a second scan counts those exactly.  There are at most R times the
-   mean number of shingles of a text, whatever the number of texts, so this table may be broadcast.
+1. Frequent shingles, those of at least one in R texts: blocks of texts count what at least one in 2R
+   of their texts has; what a block leaves out is less than half of what is needed, so shingles whose
+   counts sum up to one in 2R of all texts are the candidates, and a second scan counts those exactly.
+   There are at most 2R times the mean number of shingles of a text, whatever the number of texts, so
+   the candidates may be broadcast.
 2. Each text gets `bands * rows` consistent samples.  Equal texts become one class.
 3. Classes that agree in a band meet in cells of bounded size and compare samples; those whose
    samples agree in half or more are connected to clusters, which are small or true families.
@@ -31,14 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variantlab.llm.arrays import Words, chunks, counted, mix, runs, utf8
-from variantlab.llm.common import by_cell, components, dealt, in_blocks, removed, roots, written
+from variantlab.llm.common import by_cell, components, dealt, in_blocks, roots, written
 
 #: Words of a shingle; least similarity; R of the idf; bands and samples in each; share of agreeing samples.
 SHINGLE, SIMILAR, RATIO, BANDS, ROWS, PLAUSIBLE = 5, 0.8, 100, 10, 3, 0.5
 #: Texts of a block when candidates for frequent shingles are named, and of a cell's side when compared.
 BLOCK_SHINGLES, COMPARED, VERIFIED = 2_000_000, 1024, 512
-#: Candidates up to which the second scan gets them by broadcast; beyond, all shingles are counted by a shuffle.
-CANDIDATES = 4_000_000
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,42 +63,35 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int
         yield np.concatenate(held), texts
 
 
-def _named(all_of_them: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for values, texts in _blocks(batches):
-            found, n = np.unique(values, return_counts=True)
-            keep = slice(None) if all_of_them else n >= max(1, math.ceil(texts / RATIO))
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
-
-    return run
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, n: the shingles of each block that at least one in 2 * RATIO of its texts has."""
+    for values, texts in _blocks(batches):
+        found, n = np.unique(values, return_counts=True)
+        keep = n * 2 * RATIO >= texts
+        yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
 
 
 def frequent(docs: DataFrame, texts: int) -> dict[str, np.ndarray]:
     """Shingles that at least one in RATIO texts has, sorted, and their numbers of texts."""
     only = docs.select("text")
-    named = only.mapInArrow(_named(False), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    named = written(named, "named")
-    if named.count() <= CANDIDATES:
-        wanted = np.sort(np.array([r[0] for r in named.select("h").toLocalIterator()], np.int64).view(np.uint64))
-        shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = shared.value
-            total = np.zeros(len(names), np.int64)
-            for values, _ in _blocks(batches):
-                if len(names):
-                    at = np.searchsorted(names, values)
-                    at[at == len(names)] = 0
-                    total += np.bincount(at[names[at] == values], minlength=len(names))
-            has = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(names[has].view(np.int64)), pa.array(total[has])], ["h", "n"])
-
-        exact = only.mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    else:
-        exact = only.mapInArrow(_named(True), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = exact.where(F.col("n") * RATIO >= texts).collect()
-    removed(named)
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    named = only.mapInArrow(_named, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * RATIO >= texts)
+    wanted = np.sort(named.select("h").toArrow().column(0).to_numpy().view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        total = np.zeros(len(names), np.int64)
+        for values, _ in _blocks(batches):
+            if len(names):
+                at = np.searchsorted(names, values)
+                at[at == len(names)] = 0
+                total += np.bincount(at[names[at] == values], minlength=len(names))
+        has = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(names[has].view(np.int64)), pa.array(total[has])], ["h", "n"])
+
+    exact = only.mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = exact.where(F.col("n") * RATIO >= texts).toArrow()
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(h)
     return {"h": h[order], "n": n[order], "texts": texts}
 

@@ -9,8 +9,10 @@ however badly they fit; it is packed alike, until one group is left.  A group ha
 every level.  Other bins are final: pieces are dealt by hash, so what fits together is in each group.
 
 A null text is empty: one piece, the end token.  A text longer than a sequence is cut, the first
-piece taking the remainder.  Repeated rows are pieces of their own.  Groups are dealt by a hash of
-document and piece, so no source or document can make a group hot.
+piece taking the remainder.  Repeated rows and rows without doc_id are pieces of their own.  Pieces are
+numbered as they are written, and dealt to groups by a hash of that number, so no source, document or
+repeated doc_id can make a group hot.  An empty table gives an empty result; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +36,17 @@ LENGTH, END, GROUP = 1024, 2, 16_384
 #: Bins filled less than this go to the next level, the emptiest first, at most a group's size through this in pieces.
 NEARLY, PASSED = 0.99, 8
 
-_PIECE = "piece int, start long, length long, ids_crc32 long"
+_PIECE = "piece int, start long, length long, ids_crc32 long, nr long"
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """Pieces of at most `length` tokens of every document: doc_id, piece, start, length, ids_crc32."""
+    """Pieces of at most `length` tokens of every document: doc_id, piece, start, length, ids_crc32, and nr, another number for each."""
     path = path or public_path()
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder, place = encoder(path), TaskContext.get()
+        nr = (place.partitionId() if place else 0) << 40
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
             for i, ids in enumerate(coder.encode_all(*utf8(batch.column("text")))):
@@ -57,8 +60,9 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
                     start.append(a)
                     size.append(b - a)
                     crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-            columns = [batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(nr, nr + len(row)))]
+            nr += len(row)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "nr"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_PIECE}")
@@ -264,9 +268,9 @@ class Bins:
 
 
 def _packed_group(capacity: int, level: int, last: bool, most: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece"], ignore_index=True)
-        bins = Bins(rows["length"].tolist(), capacity)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nr")
+        bins = Bins(rows.column("length").to_pylist(), capacity)
         bins.pack()
         bins.search()
         passed, left = set(), most
@@ -275,15 +279,18 @@ def _packed_group(capacity: int, level: int, last: bool, most: int):
             if last or left < 0:
                 break
             passed.add(b)
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        open_ = np.zeros(len(rows), bool)
+        n = rows.num_rows
+        sequence, offset, open_ = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         for b, items in enumerate(bins.content):
             at = 0
             for item in items:
-                sequence[item], offset[item] = (level << 56) + (int(key[0]) << 20) + b, at
+                sequence[item], offset[item] = (level << 56) + (key[0].as_py() << 20) + b, at
                 open_[item] = b in passed
                 at += bins.sizes[item]
-        return rows.drop(columns="grp").assign(sequence_id=sequence, offset=offset, open=open_)
+        out = rows.drop_columns(["grp"])
+        for name, column in (("sequence_id", sequence), ("offset", offset), ("open", open_)):
+            out = out.append_column(name, pa.array(column))
+        return out
 
     return run
 
@@ -295,10 +302,10 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, group
     while True:
         groups = -(-left // group)
         last = groups <= 1
-        cell = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(max(groups, 1))).alias("grp")
+        cell = F.pmod(F.xxhash64("nr", F.lit(level)), F.lit(max(groups, 1))).alias("grp")
         out_schema = out_schema or rest.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long, open boolean"
-        level_rows = written(rest.select("*", cell).groupBy("grp").applyInPandas(_packed_group(length, level, last, group // PASSED), out_schema), "packed")
-        done.append(level_rows.where("not open").drop("open"))
+        level_rows = written(rest.select("*", cell).groupBy("grp").applyInArrow(_packed_group(length, level, last, group // PASSED), out_schema), "packed")
+        done.append(level_rows.where("not open").drop("open", "nr"))
         if last:
             break
         removed(rest) if level == 0 else None

@@ -4,11 +4,14 @@ A sentence's probability is logistic in the sum of its words' weights; a documen
 of its sentences.  Weights are trained from document labels by gradient steps on the documents'
 likelihood, on a sample of at most LABELLED labelled rows (those first in the order of a hash of
 doc_id).  A word is a run of ASCII letters and digits and of non-ASCII characters, in ASCII lower
-case; its features are the word and its first four and five bytes, hashed to 2**BITS weights; only those that are significantly more frequent in
-toxic documents are trained.
-
-Null and empty texts have no sentences and score 0.  Every row is scored by itself, in linear time
-for very long texts; nothing is shuffled.  With no labelled rows all scores are those of the start weights.
+case; its features are the word and its first four and five bytes, hashed to 2**BITS weights; only
+those that are significantly more frequent in toxic documents are trained.
+
+Null and empty texts have no sentences and score 0.  Every row is scored by itself, repeated rows and
+rows without doc_id alike, in linear time for very long texts; nothing is shuffled.  With no labelled
+rows all scores are those of the start weights; labels whose `toxic` is null aren't learnt from, and
+those without doc_id belong to no document.  An empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -74,8 +77,10 @@ def sentence_scores(f: Features, weights: np.ndarray, bias: float) -> np.ndarray
 
 def document_scores(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Noisy-or of each document's sentences."""
-    logs = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
-    return np.clip(-np.expm1(logs[first[1:]] - logs[first[:-1]]), 0.0, 1.0)
+    out, some = np.zeros(len(first) - 1), np.flatnonzero(first[1:] > first[:-1])
+    if len(some):  # each document's own sum, so that its neighbours don't change its last digits
+        out[some] = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first[some]))
+    return np.clip(out, 0.0, 1.0)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 60, rate: float = 0.15, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -133,8 +138,9 @@ def held_out() -> F.Column:
 def fitted(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, float]:
     """A model from at most `most` labelled rows that aren't held out."""
     own = labels.where("toxic is not null").where(~held_out()).select("doc_id", "toxic")
-    own = own.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(own, "doc_id").orderBy("doc_id", "text").select("text", "toxic").toArrow()
+    own = own.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "toxic").limit(most)
+    # a doc_id that repeats brings all its rows: the bound holds for the joined rows again
+    rows = docs.select("doc_id", "text").join(own, "doc_id").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "text", "toxic").limit(most).select("text", "toxic").toArrow()
     return train([x or "" for x in rows.column("text").to_pylist()], rows.column("toxic").to_pylist())
 
 
@@ -162,6 +168,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_offending."""
+    """doc_id, held_out, score, predicted, n_offending, and `offending`: the located sentences as start:end in code points, comma-joined."""
     out = scored(docs, fitted(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"), spans.alias("offending"))
