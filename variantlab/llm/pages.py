@@ -1,17 +1,21 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and removed.
 
-A first scan names the subtrees of every page by a hash of element name and text, counts in how many
-pages of the host each occurs, and keeps those of at least LEAST pages and a SHARE of the host's
-pages.  There can be at most a page's mean number of subtrees divided by SHARE of them for a host, so
-they are gathered by host.  A second scan drops them, drops what markup itself declares to be no
-article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments), and joins the remaining blocks.  Inside an article only containers may be templates, as a
-paragraph that many articles share is still text.
-
-A null html is empty and gives an empty text; a null url is a host of its own, the empty one.  Long
-pages are read whole, in linear time.  Repeated rows are pages of their own.  A host may hold a third
-of all pages: its counts are summed up before they are shuffled, and the join back is a plain
-equi-join, which is split where it is skewed.
+A first scan hashes the subtrees of every page (menus, lists and their items, headers, footers,
+notices, adverts, containers and blocks alike), counts in how many pages of the host each occurs, and
+takes as templates those of at least LEAST pages, not all of them copies of one page, and a SHARE of
+the host's pages.  There can be at most a page's mean number of subtrees divided by SHARE of them for
+a host, so they are gathered by host.  Not counted are articles themselves, paragraphs, headings and
+list items inside them (text that many articles share is still text), and what is over half of its
+page's text (copies of an article under other menus).  A second scan deletes the templates; of what
+didn't recur, markup that declares to be no article (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments) goes too, and the blocks left of the article, or
+where there is none of the page, are joined.
+
+A null html is empty and gives an empty text; a null url is a host of its own, the empty one, and is
+returned as it is.  Long pages are read whole, in linear time.  Repeated rows and rows without page_id
+are pages of their own.  An empty table gives an empty result; other columns, whatever their names,
+are not read.  A host may hold a third of all pages: its counts are summed up before they are
+shuffled, and the join back is a plain equi-join, which is split where it is skewed.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 from variantlab.llm.common import written
 
 #: Fewest pages of a host that share a template subtree, and their least share of the host's pages.
-LEAST, SHARE = 5, 0.3
+LEAST, SHARE = 5, 0.02
+#: Subtrees are hashed by a polynomial in the hashes of their texts, modulo a prime.
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A1C2E4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -38,7 +44,7 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?:^|\s)(hidden)(?=[\s=/]|$)", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?:^|\s)(hidden)(?=[\s=/]|$)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _DROPPED = frozenset("head nav footer aside form button select option datalist template svg canvas object dialog menu audio video".split()) | _RAW
@@ -81,8 +87,8 @@ def _marks(rest: str) -> tuple[bool, bool, bool]:
     drop = main = header = False
     for name, a, b, c, hidden in _ATTRIBUTE.findall(rest):
         value, name = (a or b or c).lower(), name.lower()
-        if hidden or name == "aria-hidden":
-            drop |= bool(hidden)
+        if hidden:
+            drop = True
         elif name == "role":
             drop, main = drop | (value in _ROLES), main | (value == "main")
         else:
@@ -96,10 +102,12 @@ def parse(source: str) -> Page:
     page = Page()
     elements, chunks, owner = page.elements, page.chunks, page.owner
     open_: list[int] = []
+    among: Counter = Counter()  # open elements by name: what isn't open is not looked for
 
     def shut(to: int) -> None:
         while len(open_) > to:
             e = elements[open_.pop()]
+            among[e.name] -= 1
             e.end = len(chunks)
             if e.name in _BLOCK:
                 chunks.append(None)
@@ -123,19 +131,17 @@ def parse(source: str) -> Page:
             continue  # a comment, a declaration, or a tag that the page's end cuts off
         name = name.lower()
         if m["end"] or m["end2"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if elements[open_[i]].name == name:
-                    shut(i)
-                    break
+            if among[name]:
+                shut(next(i for i in range(len(open_) - 1, -1, -1) if elements[open_[i]].name == name))
             continue
-        if name in _ENDS_P:
+        if name in _ENDS_P and among["p"]:
             for i in range(len(open_) - 1, -1, -1):
                 if elements[open_[i]].name == "p":
                     shut(i)
                     break
                 if elements[open_[i]].name in _LISTS:
                     break
-        if name in _SIBLING:
+        if name in _SIBLING and any(among[x] for x in _SIBLING[name]):
             for i in range(len(open_) - 1, -1, -1):
                 if elements[open_[i]].name in _SIBLING[name]:
                     shut(i)
@@ -166,35 +172,49 @@ def parse(source: str) -> Page:
             at = mark = close + 1 if end and close >= 0 else len(source)
             continue
         open_.append(len(elements) - 1)
+        among[name] += 1
     text(mark, len(source))
     shut(0)
     return page
 
 
-def _plain(chunks: list[str | None]) -> str:
-    return " ".join("".join(" " if c is None else c for c in chunks).split())
-
-
-def subtrees(page: Page) -> dict[int, int]:
-    """The hash of each element that may be a template (not the page, not an article, not a paragraph of one)."""
+def subtrees(page: Page, counting: bool = False) -> dict[int, int]:
+    """The hash of each element that may be a template: its name and the texts below it.
+
+    counting: without those that are over half of the page's text.  Hashes of spans of texts are
+    differences of one running polynomial, so the time is linear however deep elements are.
+    """
+    place, size, sums = [0], [0], [0]  # before each chunk: texts, characters, polynomial
+    for chunk in page.chunks:
+        words = " ".join(chunk.split()) if chunk else ""
+        value = xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass")) if words else 0
+        place.append(place[-1] + bool(words))
+        size.append(size[-1] + len(words))
+        sums.append((sums[-1] * _BASE + value + 1) % _PRIME if words else sums[-1])
+    power = [1]
+    for _ in range(place[-1]):
+        power.append(power[-1] * _BASE % _PRIME)
     out = {}
     for i, e in enumerate(page.elements):
         inside = e.parent >= 0 and page.elements[e.parent].root
-        if e.name in _BLOCK and e.name not in ("html", "body") and not e.dropped and (inside or not e.root) and not (inside and e.name in _TEXTUAL):
-            words = _plain(page.chunks[e.start : e.end])
-            if words:
-                out[i] = xxhash.xxh64_intdigest(f"{e.name}\n{words}".encode("utf-8", "surrogatepass")) - (1 << 63)
+        kind = (e.name in _BLOCK or e.name in _DROPPED or e.dropped) and e.name not in ("html", "body", "head")
+        own = size[e.end] - size[e.start]
+        if kind and own and (inside or not e.root) and not (inside and e.root and e.name in _TEXTUAL) and not (counting and 2 * own > size[-1]):
+            span = (sums[e.end] - sums[e.start] * power[place[e.end] - place[e.start]]) % _PRIME
+            out[i] = xxhash.xxh64_intdigest(f"{e.name} {span} {own}".encode()) - (1 << 63)
     return out
 
 
-def main_text(page: Page, templates: set[int]) -> str:
-    """The text of articles (or main parts, or where there are none the whole body), one paragraph for each block."""
-    gone = [e.dropped for e in page.elements]
-    if templates:
-        for i, h in subtrees(page).items():
-            gone[i] |= h in templates
+def cleaned(page: Page, templates: set[int]) -> tuple[str, int]:
+    """The text of articles (or main parts, or where there are none the whole body), one paragraph for each block, and the number of templates deleted."""
+    known = {i for i, h in subtrees(page).items() if h in templates} if templates else set()
+    gone, deleted = [], 0
     for i, e in enumerate(page.elements):
-        gone[i] |= e.parent >= 0 and gone[e.parent]
+        above = e.parent >= 0 and gone[e.parent]
+        deleted += i in known and not above
+        gone.append(above or i in known)
+    for i, e in enumerate(page.elements):  # what didn't recur, by its markup
+        gone[i] |= e.dropped or (e.parent >= 0 and gone[e.parent])
     rooted = any(e.root and not gone[i] for i, e in enumerate(page.elements))
     blocks, held = [], []
     for chunk, o in zip([*page.chunks, None], [*page.owner, -1]):
@@ -208,7 +228,11 @@ def main_text(page: Page, templates: set[int]) -> str:
                 held.append(chunk)
         elif not gone[o] and (page.elements[o].root or not rooted):
             held.append(chunk)
-    return "\n\n".join(blocks)
+    return "\n\n".join(blocks), deleted
+
+
+def main_text(page: Page, templates: set[int]) -> str:
+    return cleaned(page, templates)[0]
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -216,27 +240,33 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, h, n: pages of the batch that hold a subtree; h is null for the pages themselves."""
+    """host, h, n, low, high: pages of the batch that hold a subtree, and the smallest and largest hash of their texts; h is null for the pages themselves."""
     for batch in batches:
-        n: Counter = Counter()
+        seen: dict[tuple, list[int]] = {}
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            n[host, None] += 1
-            n.update((host, h) for h in set(subtrees(parse(source or "")).values()))
-        hosts, hashes = zip(*n) if n else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(n.values(), pa.int64())], ["host", "h", "n"])
+            page = parse(source or "")
+            whole = xxhash.xxh64_intdigest("".join(c or " " for c in page.chunks).encode("utf-8", "surrogatepass")) - (1 << 63)
+            for h in (None, *set(subtrees(page, counting=True).values())):
+                row = seen.setdefault((host, h), [0, whole, whole])
+                row[0] += 1
+                row[1], row[2] = min(row[1], whole), max(row[2], whole)
+        hosts, hashes = zip(*seen) if seen else ((), ())
+        n, low, high = zip(*seen.values()) if seen else ((), (), ())
+        columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (hashes, n, low, high))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "h", "n", "low", "high"])
 
 
 def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """host and `templates` (array of long), the subtrees that recur across many of the host's pages."""
-    counts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_counted, "host string, h long, n long")
-    counts = counts.groupBy("host", "h").agg(F.sum("n").alias("n"))
-    many = counts.where((F.col("n") >= least) | F.col("h").isNull())
+    counts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_counted, "host string, h long, n long, low long, high long")
+    counts = counts.groupBy("host", "h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    many = counts.where((F.col("n") >= least) & (F.col("low") < F.col("high")) | F.col("h").isNull())
     total = many.where("h is null").select("host", F.col("n").alias("pages"))
-    return many.where("h is not null").join(total, "host").where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_set("h").alias("templates"))
+    return many.where("h is not null").join(total, "host").where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_list("h").alias("templates"))
 
 
 def extracted(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text and n_chars of every page, and n_templates, the number of template subtrees deleted from it."""
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     # as a table its size is known: small ones are broadcast, and beside a large one a hot host can be split
     known = written(templates(pages, least, share), "templates")
@@ -246,7 +276,8 @@ def extracted(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist())
-            texts = [main_text(parse(source or ""), set(known or ())) for source, known in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            found = [cleaned(parse(source or ""), set(known or ())) for source, known in rows]
+            columns = [pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], ["page_id", "url", "text", "n_chars", "n_templates"])
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_templates long")
