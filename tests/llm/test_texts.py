@@ -196,43 +196,52 @@ def test_samples_follow_weighted_jaccard():
 # repeated passages
 
 
-def cut_words(text):
-    """Numbers of the words after which a sentence is cut by their pair's hash."""
+def pair_hashes(text):
+    """A hash of each two neighbouring words."""
     from variantlab.llm.arrays import Words, mix, utf8
 
     v = Words(*utf8(pa.array([text]))).value.tolist()
-    return {j for j in range(1, len(v)) if int(mix(np.array([(v[j - 1] * 3 + v[j]) % 2**64], np.uint64))[0]) % substrings.CUT == 0}
+    return [int(mix(np.array([(a * 3 + b) % 2**64], np.uint64))[0]) for a, b in zip(v, v[1:])]
 
 
 def slow_cut(pairs):
-    """Sentences by regular expressions, spans in a dictionary."""
+    """Sentences by regular expressions, cuts of long ones by looking at every window, spans in a dictionary."""
     split = {}
     for d, t in pairs:
-        out, number, cuts = [], -1, cut_words(t or "")
-        for line in (t or "").split("\n"):
-            now = []
+        own, ends, line_of = [], [], []
+        for k, line in enumerate((t or "").split("\n")):
             for w in words(line):
-                now.append(w)
-                number += 1
-                if number in cuts or re.search(r"[.!?][\"')\]]?$", w) and not re.fullmatch(r"[\"')\]]", w):
-                    out.append(now)
-                    now = []
-            if now:
-                out.append(now)
+                own.append(w)
+                line_of.append(k)
+                ends.append(bool(re.search(r"[.!?][\"')\]]?$", w)) and not re.fullmatch(r"[\"')\]]", w))
+        hashes = [0 if ends[i] else h for i, h in enumerate(pair_hashes(t or ""))]
+        cuts = set()
+        for i in range(len(hashes) - substrings.WINDOW + 1):
+            window = range(i, i + substrings.WINDOW)
+            cuts.add(1 + max(window, key=lambda j: (-hashes[j], j)))
+        out = []
+        for i, w in enumerate(own):
+            if not i or ends[i - 1] or i in cuts or line_of[i] != line_of[i - 1]:
+                out.append([])
+            out[-1].append(w)
         split[d] = out
+    spans = defaultdict(set)  # of each document its shortest runs from each start and to each end
+    for d, s in split.items():
+        for step in (1, -1):
+            for i in range(len(s)):
+                j, n = i, 0
+                while 0 <= j < len(s) and (abs(j - i) < 2 or n < 20):
+                    n += len(s[j])
+                    j += step
+                if abs(j - i) >= 2 and n >= 20:
+                    spans[d].add((i, j) if step > 0 else (j + 1, i + 1))
     seen, gone = {}, defaultdict(set)
     for d in sorted(split):
-        s = split[d]
-        for i in range(len(s)):
-            j, n = i, 0
-            while j < len(s) and (j - i < 2 or n < 20):
-                n += len(s[j])
-                j += 1
-            if j - i >= 2 and n >= 20:
-                key = tuple(w for x in s[i:j] for w in x)
-                if key in seen and seen[key] != (d, i):
-                    gone[d] |= set(range(i, j))
-                seen.setdefault(key, (d, i))
+        for i, j in sorted(spans[d]):
+            key = tuple(w for x in split[d][i:j] for w in x)
+            if key in seen:
+                gone[d] |= set(range(i, j))
+            seen.setdefault(key, (d, i))
     return {d: [w for i, x in enumerate(s) if i not in gone[d] for w in x] for d, s in split.items()}, gone
 
 
