@@ -321,7 +321,7 @@ def test_network_gradients_and_learning(sf_dir):
         down = net.loss(x, y)[0]
         p[at] = old
         assert grad[k][at] == pytest.approx((up - down) / (2 * e), rel=1e-4, abs=1e-6)
-    net = pii.train(texts[:100], steps=120)
+    net = pii.train(*pii.examples(texts[:100]), steps=120)
     found = [set(f) & set(pii.base_spans(t)) for f, t in zip(pii.found_spans(texts[100:], net), texts[100:])]
     assert sum(map(len, found)) > 0.6 * sum(len(pii.base_spans(t)) for t in texts[100:])
 

@@ -1,21 +1,27 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions, trained in numpy.
 
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers.  Their spans
-in at most SAMPLE documents (the first in the order of a hash of doc_id), partly rewritten in ways
-that the patterns miss, are the labels that the network learns from.  It then reads every text in
-overlapping windows around the characters that such data can't do without (a digit or an at sign);
-the windows' scores are reconciled by a weight that falls towards a window's edges, and one Viterbi
-pass over each covered stretch decodes them.  What it finds is added where it is well formed and
-touches no base span.
-
-Null and empty texts have no spans.  Texts are read whole and in linear time; batches of windows
-have a fixed size.  Repeated rows are judged row by row, and nothing is shuffled.
+in at most SAMPLE documents (the first in the order of a hash of doc_id), as they are and rewritten in
+ways that the patterns miss, are the labels that the network learns from; of the windows of those
+texts, wherever they stand, it takes at most WINDOWS.  It then reads every text in overlapping
+windows around the characters that such data can't do without: a digit, an at sign, or a bracketed
+word for one of the marks, as in `name (at) host (dot) org`.  Numbers in words are not looked at.  The
+windows' scores are reconciled by a weight that falls towards a window's edges, and one Viterbi pass
+over each covered stretch, however long, decodes them.  What it finds is added where it is well formed
+and touches no base span.
+
+Null and empty texts have no spans.  Texts are read whole and in linear time; windows are scored in
+batches of a fixed size, and of a long stretch only a byte for each tag and character is held.
+Repeated rows and rows without doc_id are judged row by row, and nothing is shuffled.  An empty table
+gives an empty result, and a table without personal data an untrained network that adds nothing.
+`report` reads no other columns, `redacted` keeps them whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that training takes at most; length and step of windows; batch of windows in training and in use; steps.
-SAMPLE, WINDOW, STEP, BATCH, MANY, STEPS = 1500, 64, 32, 64, 2048, 350
+#: Documents and windows that training takes at most; length and step of windows; batch of windows in training and in use; steps.
+SAMPLE, WINDOWS, WINDOW, STEP, BATCH, MANY, STEPS = 1500, 30_000, 64, 32, 64, 2048, 400
 EMBED, HIDDEN, TAGS = 12, 16, 1 + 2 * len(KINDS)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -33,7 +39,13 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NEEDED = re.compile(r"[0-9@]")
+#: A mark of an address as a word in brackets.
+_MARK = r"\s?[(\[{<]\s?(?:%s)\s?[)\]}>]\s?"
+_AT, _DOT = re.compile(_MARK % "at|arroba" + r"|\s?@\s?", re.I), re.compile(_MARK % "dot|punkt|punto|point" + r"|\s?\.\s?", re.I)
+_WORDED = r"[(\[{<]\s?(?:at|arroba|dot|punkt|punto|point)\s?[)\]}>]"
+_NEEDED = re.compile(f"[0-9@]|(?i:{_WORDED})")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_PARTS = re.compile(r"[0-9]+(?:\s?[.-]\s?[0-9]+){3}")
 
 
 def digits_of(text: str) -> str:
@@ -49,17 +61,24 @@ def luhn(digits: str) -> bool:
 
 
 def valid(kind: str, text: str) -> bool:
-    """Whether a match of a kind stands."""
+    """Whether a match of a base pattern stands."""
     if kind == "email":
-        left, at, right = text.partition("@")
-        return bool(at) and any(c.isalnum() for c in left) and any(c.isalnum() for c in right)
+        return True
     if kind == "ip":
-        parts = re.split(r"[^0-9]+", text.strip())
-        return len(parts) == 4 and all(p and int(p[-9:]) <= 255 and (len(p) < 10 or int(p) <= 255) for p in parts)
+        return all(int(p[-9:]) <= 255 and (len(p) < 10 or int(p) <= 255) for p in text.split("."))
     n = len(digits := digits_of(text))
     return 9 <= n <= 15 if kind == "phone" else 13 <= n <= 19 and luhn(digits)
 
 
+def well_formed(kind: str, text: str) -> bool:
+    """Whether what the network found is personal data of its kind in another form."""
+    if kind == "email":
+        return _EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", text))) is not None
+    if kind == "ip":
+        return _PARTS.fullmatch(text) is not None and all(int(p[-9:]) <= 255 for p in re.findall("[0-9]+", text))
+    return valid(kind, text)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, found from each at sign, so in linear time."""
     end, at = 0, text.find("@")
@@ -109,6 +128,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+#: Characters that stretches of like length are decoded together in.
+PADDED = 200_000
+
+
+class Path:
+    """Viterbi's pass over one stretch that comes in parts."""
+
+    def __init__(self, begin: np.ndarray, trans: np.ndarray) -> None:
+        self.begin, self.trans = begin, trans
+        self.best: np.ndarray | None = None
+        self.back: list[np.ndarray] = []
+
+    def feed(self, scores: np.ndarray) -> None:
+        back, at, best = np.zeros(scores.shape, np.int8), 0, self.best
+        if best is None:
+            best, at = self.begin + scores[0], 1
+        for t in range(at, len(scores)):
+            step = best[:, None] + self.trans
+            back[t] = step.argmax(0)
+            best = step.max(0) + scores[t]
+        self.best = best
+        self.back.append(back)
+
+    def tags(self) -> np.ndarray:
+        back = np.concatenate(self.back)
+        out = np.empty(len(back), np.int8)
+        tag = int(self.best.argmax())
+        for t in range(len(back) - 1, -1, -1):
+            out[t] = tag
+            tag = int(back[t, tag])
+        return out
+
+
 class Tagger:
     """The network: emission scores from a bidirectional LSTM, and transitions between tags."""
 
@@ -192,13 +244,17 @@ class Tagger:
         np.add.at(grad["embed"], x.T, de)
         return float((z - gold).mean()), {k: v / n for k, v in grad.items()}
 
+    def path(self) -> Path:
+        return Path(self.p["begin"], self.p["trans"])
+
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of stretches of scores [time, TAGS]; stretches of like length go together."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(scores)
-        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-        for at in range(0, len(order), 256):
-            own = order[at : at + 256]
-            size = max(len(scores[i]) for i in own)
+        order, at = sorted(range(len(scores)), key=lambda i: -len(scores[i])), 0
+        while at < len(order):
+            size = len(scores[order[at]])
+            own = order[at : at + max(1, min(256, PADDED // max(size, 1)))]
+            at += len(own)
             padded = np.zeros((len(own), size, TAGS))
             for r, i in enumerate(own):
                 padded[r, : len(scores[i])] = scores[i]
@@ -227,10 +283,17 @@ def tags_of(length: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def _rewritten(kind: int, text: str, rng: np.random.Generator) -> str:
-    """A form of personal data that the patterns may miss."""
+    """A form of personal data that the patterns miss."""
     digits = digits_of(text)
     if kind == 0:
-        return text.replace("@", [" @ ", "@", " @", "@ "][rng.integers(4)])
+        form = rng.integers(5)
+        if form < 2:
+            a, b = ("()", "[]", "{}")[rng.integers(3)]
+            gap = ("", " ")[rng.integers(2)]
+            left, _, right = text.partition("@")
+            dotted = right.replace(".", f"{gap}{a}dot{b}{gap}") if form else right
+            return f"{left}{gap}{a}at{b}{gap}{dotted}"
+        return text.replace("@", [" @ ", " @", "@ "][form - 2])
     if kind == 1:
         return text.replace(".", [". ", " . ", "-"][rng.integers(3)])
     if kind == 2:
@@ -240,45 +303,57 @@ def _rewritten(kind: int, text: str, rng: np.random.Generator) -> str:
     return [f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}", f"00{digits}"][rng.integers(4)]
 
 
-def windows_for(length: int, needed: np.ndarray) -> np.ndarray:
+def rewritten(text: str, share: float, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with a share of its base spans in other forms, and where all of them are then."""
+    parts, spans, at, size = [], [], 0, 0
+    for k, a, b in sorted(base_spans(text), key=lambda s: s[1]):
+        if a < at:
+            continue
+        new = _rewritten(k, text[a:b], rng) if rng.random() < share else text[a:b]
+        parts += [text[at:a], new]
+        size += a - at
+        spans.append((k, size, size + len(new)))
+        size += len(new)
+        at = b
+    return "".join([*parts, text[at:]]), spans
+
+
+def windows_of(text: str, x: np.ndarray) -> np.ndarray:
     """Numbers of the windows that hold a needed character; window k starts at k * STEP."""
-    at = needed // STEP
+    marks = (x == 1) | (x == _CLASS[ord("@")])
+    worded = [m.start() for m in _NEEDED.finditer(text) if m.end() > m.start() + 1] if any(c in text for c in "([{<") else []
+    at = np.concatenate([np.flatnonzero(marks), np.array(worded, np.int64)]) // STEP
     return np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
 
 
-def examples(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and tags of windows around needed characters, with some spans rewritten."""
-    rng = np.random.default_rng(seed)
+#: Shares of spans that are rewritten in the copies of a text that training sees.
+SHARES = (0.0, 0.5, 1.0)
+
+
+def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and tags of all windows around needed characters, of each text and its rewritten copies."""
     xs, ys = [], []
     for text in texts:
-        spans, parts, tagged, at = sorted(base_spans(text), key=lambda s: s[1]), [], [], 0
-        for k, a, b in spans:
-            if a < at:
-                continue
-            new = _rewritten(k, text[a:b], rng) if rng.random() < 0.35 else text[a:b]
-            parts.append(text[at:a])
-            start = sum(map(len, parts))
-            parts.append(new)
-            tagged.append((k, start, start + len(new)))
-            at = b
-        text = "".join([*parts, text[at:]])
-        x, y = classed(text), tags_of(len(text), tagged)
-        needed = np.flatnonzero((x == 1) | (x == _CLASS[ord("@")]))
-        if len(needed):
+        rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+        for share in SHARES:
+            new, spans = rewritten(text, share, rng)
+            x, y = classed(new), tags_of(len(new), spans)
+            own = windows_of(new, x)
             pad = max(0, WINDOW - len(x))
             x, y = np.pad(x, (0, pad), constant_values=6), np.pad(y, (0, pad))
-            for k in windows_for(len(x), needed)[:40]:
-                a = min(k * STEP, len(x) - WINDOW)
-                xs.append(x[a : a + WINDOW])
-                ys.append(y[a : a + WINDOW])
-    return np.array(xs).reshape(-1, WINDOW), np.array(ys).reshape(-1, WINDOW)
+            at = np.minimum(own * STEP, len(x) - WINDOW)[:, None] + np.arange(WINDOW)
+            xs.append(x[at])
+            ys.append(y[at])
+            if not spans:
+                break
+    return np.concatenate(xs).reshape(-1, WINDOW) if xs else np.zeros((0, WINDOW), np.int64), np.concatenate(ys).reshape(-1, WINDOW) if ys else np.zeros((0, WINDOW), np.int64)
 
 
-def train(texts: list[str], steps: int = STEPS, rate: float = 0.02, seed: int = 5) -> Tagger:
-    """A tagger from the base spans of texts."""
+def train(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.02, seed: int = 5) -> Tagger:
+    """A tagger from windows of classes and tags."""
     net, rng = Tagger(seed), np.random.default_rng(seed)
-    x, y = examples(texts)
-    if not len(x):
+    if not (len(y) and y.any()):
+        net.p["out"][:], net.p["bias"][0] = 0.0, 1.0  # nothing to learn: no span anywhere
         return net
     m, v = ({k: np.zeros_like(p) for k, p in net.p.items()} for _ in range(2))
     for t in range(1, steps + 1):
@@ -292,54 +367,88 @@ def train(texts: list[str], steps: int = STEPS, rate: float = 0.02, seed: int =
     return net
 
 
-_EDGE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
+#: The weight of a window's scores falls towards its edges; where two windows overlap weights add up to 1.
+_EDGE = (np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / (STEP + 1))[:, None]
 
 
 def found_spans(texts: list[str], net: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans that the network finds in each text, over all windows that hold a needed character."""
-    jobs, held = [], []  # of each text its windows
-    for i, text in enumerate(texts):
-        if _NEEDED.search(text):
-            x = classed(text)
-            for k in windows_for(len(x), np.flatnonzero((x == 1) | (x == _CLASS[ord("@")]))):
-                jobs.append((i, int(k) * STEP))
-                part = x[k * STEP : k * STEP + WINDOW]
-                held.append(np.pad(part, (0, WINDOW - len(part)), constant_values=6))
-    stretches, where = [], []
-    at = 0
-    while at < len(jobs):
-        scores, end = None, min(len(jobs), at + MANY)
-        while end < len(jobs) and jobs[end][0] == jobs[end - 1][0] and end - at < 8 * MANY:
-            end += 1
-        scores = np.concatenate([net.emissions(np.array(held[a : min(a + MANY, end)])) for a in range(at, end, MANY)])
-        a = at
-        while a < end:
-            b = a + 1
-            while b < end and jobs[b][0] == jobs[a][0] and jobs[b][1] <= jobs[b - 1][1] + WINDOW:
-                b += 1
-            low, high = jobs[a][1], min(len(texts[jobs[a][0]]), jobs[b - 1][1] + WINDOW)
-            total, weight = np.zeros((jobs[b - 1][1] + WINDOW - low, TAGS)), np.zeros((jobs[b - 1][1] + WINDOW - low, 1))
-            for j in range(a, b):
-                s = jobs[j][1] - low
-                total[s : s + WINDOW] += scores[j - at] * _EDGE[:, None]
-                weight[s : s + WINDOW, 0] += _EDGE
-            stretches.append((total / weight)[: high - low])
-            where.append((jobs[a][0], low))
-            a = b
-        at = end
+    """Spans that the network finds in each text, over all windows that hold a needed character.
+
+    Windows come in batches of MANY.  A stretch of overlapping windows that ends in its batch is
+    decoded with others; one that doesn't is decoded as its batches come.
+    """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (i, low), tags in zip(where, net.decode(stretches)):
-        t = 0
-        while t < len(tags):
-            if tags[t]:
-                kind, start = (int(tags[t]) - 1) // 2, t
-                t += 1
-                while t < len(tags) and tags[t] == 2 + 2 * kind:
-                    t += 1
-                out[i].append((kind, low + start, low + t))
+    ready: list[tuple[int, int, np.ndarray]] = []  # text, first character, scores
+    path: Path | None = None  # of a stretch that an earlier batch began
+    began = 0
+
+    def take(i: int, low: int, tags: np.ndarray) -> None:
+        kind = (tags.astype(np.int64) + 1) // 2  # 0: no span
+        marks = np.flatnonzero((np.diff(np.concatenate([[0], kind, [0]])) != 0) | np.concatenate([tags % 2 == 1, [False]]))
+        for a, b in zip(marks, marks[1:]):
+            if tags[a]:
+                out[i].append((int(kind[a]) - 1, low + int(a), low + int(b)))
+
+    def windows() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i, text in enumerate(texts):
+            if _NEEDED.search(text):
+                x = classed(text)
+                own = windows_of(text, x)
+                x = np.pad(x, (0, WINDOW), constant_values=6)
+                for a in range(0, len(own), MANY):
+                    part = own[a : a + MANY]
+                    yield i, part, x[part[:, None] * STEP + np.arange(WINDOW)]
+
+    def flush(held: list, last: bool) -> list:
+        nonlocal path, began
+        text = np.concatenate([np.full(len(k), i) for i, k, _ in held])
+        place, x = np.concatenate([k for _, k, _ in held]), np.concatenate([x for _, _, x in held])
+        raw = net.emissions(x)
+        half = raw * _EDGE
+        joined = np.zeros(len(x) + 1, bool)
+        joined[1:-1] = (text[1:] == text[:-1]) & (place[1:] == place[:-1] + 1)
+        front = raw[:, :STEP].copy()
+        at = np.flatnonzero(joined[1:-1]) + 1
+        front[at] = half[at, :STEP] + half[at - 1, STEP:]
+        starts = np.flatnonzero(~joined)
+        keep = []
+        for a, b in zip(starts, starts[1:]):
+            i, low = int(text[a]), int(place[a]) * STEP
+            most = len(texts[i]) - (began if path is not None and a == 0 else low)
+            if b == len(x) and not last:  # it may go on: its last window is scored again with the next ones
+                if a < b - 1:
+                    own = front[a : b - 1].reshape(-1, TAGS)
+                    if path is None or a:
+                        path, began = net.path(), low
+                        path.feed(own)
+                    else:
+                        path.feed(own[STEP:])
+                    keep = [(i, place[b - 2 : b], x[b - 2 : b])]
+                else:
+                    keep = [(i, place[a:b], x[a:b])]
             else:
-                t += 1
-    return out
+                own = np.concatenate([front[a:b].reshape(-1, TAGS), raw[b - 1, STEP:]])
+                if path is not None and a == 0:
+                    path.feed(own[STEP:])
+                    take(i, began, path.tags()[:most])
+                    path = None
+                else:
+                    ready.append((i, low, own[:most]))
+        for (i, low, _), tags in zip(ready, net.decode([r[2] for r in ready])):
+            take(i, low, tags)
+        ready.clear()
+        return keep
+
+    held, size = [], 0
+    for part in windows():
+        held.append(part)
+        size += len(part[1])
+        if size >= MANY:
+            held = flush(held, False)
+            size = sum(len(k) for _, k, _ in held)
+    if held:
+        flush(held, True)
+    return [sorted(found, key=lambda s: s[1]) for found in out]
 
 
 def all_spans(texts: list[str], net: Tagger) -> list[tuple[list, list]]:
@@ -353,7 +462,7 @@ def all_spans(texts: list[str], net: Tagger) -> list[tuple[list, list]]:
             a += len(text[a:b]) - len(text[a:b].lstrip())
             b -= len(text[a:b]) - len(text[a:b].rstrip())
             free = all(b <= x or a >= y for x, y in taken)
-            if a < b and free and b - a >= 6 and valid(KINDS[k], text[a:b]):
+            if a < b and free and well_formed(KINDS[k], text[a:b]):
                 more.append((k, a, b))
                 taken.append((a, b))
         out.append((base, sorted([*base, *more])))
@@ -364,12 +473,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def fitted(docs: DataFrame, most: int = SAMPLE) -> Tagger:
-    """A network from at most `most` documents that hold a digit or an at sign."""
+def fitted(docs: DataFrame, most: int = SAMPLE, windows: int = WINDOWS) -> Tagger:
+    """A network from at most `windows` windows of at most `most` documents, those first in the order of their hashes.
+
+    Tasks cut the texts; the driver gets windows alone, so no long or repeated text can fill it.
+    """
     some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    chosen = some.select("doc_id").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(most)
-    texts = some.join(chosen.distinct(), "doc_id").orderBy("doc_id", "text").select("text").toArrow().column(0).to_pylist()
-    return train(texts)
+    chosen = some.select("doc_id").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(most).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                x, y = (v.astype(np.uint8) for v in examples([text]))
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, y)], ["x", "y"])
+
+    rows = some.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "x binary, y binary")
+    table = rows.orderBy(F.xxhash64(F.lit(17), "x", "y"), "x", "y").limit(windows).toArrow()
+    x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(-1, WINDOW).astype(np.int64) for c in "xy")
+    return train(x, y)
 
 
 def report(docs: DataFrame) -> DataFrame:
