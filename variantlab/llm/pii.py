@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and windows that training takes at most; length and step of windows; batch of windows in training and in use; steps.
-SAMPLE, WINDOWS, WINDOW, STEP, BATCH, MANY, STEPS = 1500, 30_000, 64, 32, 64, 2048, 400
+SAMPLE, WINDOWS, WINDOW, STEP, BATCH, MANY, STEPS = 1500, 30_000, 64, 32, 64, 2048, 250
 EMBED, HIDDEN, TAGS = 12, 16, 1 + 2 * len(KINDS)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
