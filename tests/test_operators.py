@@ -334,3 +334,15 @@ def test_saved_models(fitted, tmp_path):
     with pytest.raises(ValueError, match="no selection"):
         model.selected("other", df)
     assert 0 in model.selected("lasso", df, target="y", exponent=1)
+
+
+def test_contributions_sum_to_the_prediction(spark):
+    from variantlab.operators import explain, model
+
+    rows = model.vectors(spark.createDataFrame([(i, float(i % 7 + (i % 3) * 2), [float(i % 7), float(i % 3), float(i % 5)]) for i in range(200)], "id long, y double, features array<double>"))
+    for fitted in (model.forest(rows, "y", 4, 3), model.boosted(rows, "y", 6, 3)):
+        nodes, weights = explain.node_table(fitted), explain.tree_weights(fitted)
+        shares = {r.id: r.v for r in explain.attributions(rows, nodes, ["id"], weights=weights).groupBy("id").agg(F.sum("value").alias("v")).collect()}
+        base = explain.base_value(nodes, weights)
+        for r in fitted.transform(rows).collect():
+            assert abs(base + shares.get(r.id, 0.0) - r.prediction) < 1e-9

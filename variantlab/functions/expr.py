@@ -194,34 +194,79 @@ def shown(value: Column) -> Column:
     return F.when(value.isNull(), "None").when(size >= 100, F.format_string("%.0f", value)).when(size >= 1, F.format_string("%.2f", value)).when(size >= 0.001, F.format_string("%.4f", value)).otherwise(F.format_string("%.2e", value))
 
 
-#: Feature categories by the beginning or a part of a feature's name; the first that fits counts.
-CATEGORY_RULES: list[tuple[str, str, str]] = [
-    ("part", "GPW ref", "evolutionary"),
-    ("part", "MSA smsa", "evolutionary"),
-    ("start", "gemme", "evolutionary"),
-    ("start", "inter_chain_", "PPI contacts"),
-    ("start", "intra_chain_", "intra contacts"),
-    ("start", "lig_", "non-PPI contacts"),
-    ("start", "rna_", "non-PPI contacts"),
-    ("part", "Centrality", "RIN centrality"),
-    ("end", "_rsa", "solvent access"),
-    ("start", "rsa_", "solvent access"),
-    ("part", "location", "solvent access"),
-    ("end", " change", "amino acid properties"),
-    ("part", " AA_", "amino acid properties"),
-    ("start", "Site_", "structural conservation"),
-    ("start", "Backbone_", "structural conservation"),
-    ("start", "oh_Function Type", "function type"),
-    ("start", "cis_", "geometric"),
-    ("end", "ssbond", "geometric"),
+# Names of feature categories and sub-categories, categories of whole names, and rules by a
+# part of the name, of which the first that fits counts.  Each gives a category and a sub-category or None.
+EVOLUTIONARY, INTRA, SOLVENT, RIN, AMINO, PPI = "evolutionary", "intra contacts", "solvent access", "RIN centrality", "amino acid properties", "PPI contacts"
+CONSERVATION, GEOMETRIC, NON_PPI, FLEXIBILITY, FUNCTION = "structural conservation", "geometric", "non-PPI contacts", "flexibility", "function type"
+PROTEIN, CLASSIFICATION = "protein attributes", "structural classification"
+TERTIARY, INTERACTION, CONSERVED, AGGREGATION = "Tertiary", "Interaction", "Structural conservation", "Aggregation"
+CATEGORY_NAMES: dict[str, tuple[str, str | None]] = {
+    "chain_dist": (PPI, INTERACTION),
+    "phi": (GEOMETRIC, TERTIARY),
+    "psi": (GEOMETRIC, TERTIARY),
+    "dna_dist": (NON_PPI, INTERACTION),
+    "ion_dist": (NON_PPI, INTERACTION),
+    "b_factor": (FLEXIBILITY, TERTIARY),
+    "metal_dist": (NON_PPI, INTERACTION),
+    "oh_simple_class_Protein interaction": (PPI, AGGREGATION),
+    "Blosum62": (AMINO, None),
+    "Chemical distance": (AMINO, None),
+    "KD mean": (AMINO, None),
+    "Protein Size": (PROTEIN, None),
+    "Relative Sequence Position": (AMINO, None),
+    "Sequence Position Number": (PROTEIN, None),
+    "Volume mean": (AMINO, None),
+    "Mutant AA": (AMINO, None),
+    "Wildtype AA": (AMINO, None),
+    "simple_class": (CLASSIFICATION, AGGREGATION),
+    "structural_classification": (CLASSIFICATION, AGGREGATION),
+    "ssa": (GEOMETRIC, TERTIARY),
+}
+CATEGORY_PATTERNS: list[tuple[str, str, str | None]] = [
+    ("GPW ref", EVOLUTIONARY, None),
+    ("MSA smsa", EVOLUTIONARY, None),
+    ("^gemme", EVOLUTIONARY, None),
+    ("^.c (long|neigh|short)", INTRA, TERTIARY),
+    ("^.c Protein", PPI, INTERACTION),
+    ("^.c (Peptide|ligand|ion|DNA|RNA|metal)", NON_PPI, INTERACTION),
+    ("^(lig_|rna_)", NON_PPI, INTERACTION),
+    ("^oh_structural_classification", SOLVENT, AGGREGATION),
+    ("^oh_ssa_", GEOMETRIC, TERTIARY),
+    ("^oh_simple_class.*(Peptide|ligand|DNA|ion)", NON_PPI, AGGREGATION),
+    ("^.c_rsa_", SOLVENT, AGGREGATION),
+    ("(_rsa|surface_value)$|^rsa_|location", SOLVENT, TERTIARY),
+    ("Centrality", RIN, AGGREGATION),
+    (" change$", AMINO, None),
+    (" AA_|^oh_AA ", AMINO, None),
+    ("^(Site_|Backbone_|nof_site_|All_atom)", CONSERVATION, CONSERVED),
+    ("^inter_chain_", PPI, INTERACTION),
+    ("^intra_chain_", INTRA, TERTIARY),
+    ("^oh_Function Type|^Function Type$", FUNCTION, None),
+    ("^cis_|^ssbond_|ssbond$", GEOMETRIC, TERTIARY),
 ]
 
 
+def _by_rules(name: Column, place: int) -> Column:
+    out = None
+    for text, found in CATEGORY_NAMES.items():
+        out = (F if out is None else out).when(name == text, F.lit(found[place]))
+    for pattern, *found in CATEGORY_PATTERNS:
+        out = out.when(name.rlike(pattern), F.lit(found[place]))
+    return out
+
+
 def feature_category(name: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
-    """The category of a feature by its name, NULL if no rule fits."""
+    """The category of a feature by its name, NULL if no rule fits; `rules` of (start, part or end; text; category) instead of the usual ones."""
+    if not rules:
+        return _by_rules(name, 0)
     tests: dict[str, Callable[[str], Column]] = {"part": name.contains, "start": name.startswith, "end": name.endswith}
     out = None
-    for kind, text, category in rules or CATEGORY_RULES:
+    for kind, text, category in rules:
         hit = tests[kind](text)
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return out
+
+
+def feature_sub_category(name: Column) -> Column:
+    """The sub-category, NULL where the category has none."""
+    return _by_rules(name, 1)

@@ -56,6 +56,18 @@ def node_table(model: Any) -> list[tuple[int, int, int, int, int, float, float,
     return out
 
 
+def tree_weights(model: Any) -> list[float]:
+    """What each tree's prediction counts in the ensemble's sum: 1 / trees in a forest, the learnt weights in boosting."""
+    weights = [float(w) for w in model.treeWeights]
+    return weights if "GBT" in type(model).__name__ else [w / sum(weights) for w in weights]
+
+
+def base_value(nodes: list[tuple], weights: list[float]) -> float:
+    """The ensemble's prediction at its roots, which contributions are added to."""
+    roots = {n[0]: n[6] for n in nodes if n[1] == 0}
+    return sum(w * roots[t] for t, w in enumerate(weights))
+
+
 def _trees(nodes: list[tuple]) -> list[dict[str, np.ndarray]]:
     out = []
     for t in sorted({n[0] for n in nodes}):
@@ -95,18 +107,25 @@ def decision_paths(samples: DataFrame, nodes: list[tuple], key: list[str], featu
     return samples.select(*kept, features).mapInPandas(run, schema)
 
 
-def confusion(paths: DataFrame, key: list[str], target: str, power: float = 1.0, norm: float = 1.0, goodwill: float = 0.0, all_features: int | None = None) -> DataFrame:
-    """By feature the summed warped errors of the trees that decide by it, each weighted by its place on the path, by count ** norm, to five places.
-
-    Features that no path uses get 1 - goodwill.
-    """
+def raw_errors(paths: DataFrame, key: list[str], target: str) -> DataFrame:
+    """Feature, error (target and tree's prediction apart) and weight (by the place on the path) of every decision; stored, it serves any exponents."""
     along = Window.partitionBy(*key, "tree").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
     weight = F.exp(F.sum(F.log(F.log2(F.col("depth") + 1))).over(along))
-    error = F.abs(warped_error(F.col("prediction"), F.col(target), power))
-    by_tree = paths.select("feature", (error * weight).alias("e")).groupBy("feature").agg(F.sum("e").alias("total"), F.count("*").alias("n"))
+    return paths.select("feature", (F.col("prediction") - F.col(target)).alias("error"), weight.alias("weight"))
+
+
+def confusion(paths: DataFrame, key: list[str], target: str, power: float = 1.0, norm: float = 1.0, goodwill: float = 0.0, all_features: int | None = None) -> DataFrame:
+    """By feature the summed warped errors of the trees that decide by it, each weighted by its place on the path, by count ** norm, to five places."""
+    return confusion_of(raw_errors(paths, key, target), power, norm, goodwill, all_features)
+
+
+def confusion_of(raw: DataFrame, power: float = 1.0, norm: float = 1.0, goodwill: float = 0.0, all_features: int | None = None) -> DataFrame:
+    """The confusion of features from stored raw errors, for any exponents.  Features that no path uses get 1 - goodwill."""
+    error = F.abs(warped_error(F.col("error"), F.lit(0.0), power))
+    by_tree = raw.select("feature", (error * F.col("weight")).alias("e")).groupBy("feature").agg(F.sum("e").alias("total"), F.count("*").alias("n"))
     out = by_tree.select("feature", F.round(F.col("total") / F.pow(F.col("n").cast("double"), F.lit(norm)), 5).alias("confusion"), "n")
     if all_features is not None:
-        every = paths.sparkSession.range(all_features).select(F.col("id").cast("int").alias("feature"))
+        every = raw.sparkSession.range(all_features).select(F.col("id").cast("int").alias("feature"))
         out = every.join(out, "feature", "left").select("feature", F.coalesce("confusion", F.lit(1 - goodwill)).alias("confusion"), F.coalesce("n", F.lit(0)).alias("n"))
     return out
 
@@ -116,14 +135,15 @@ def worst_confusion(parts: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.max("confusion").alias("confusion"))
 
 
-def attributions(paths_of: DataFrame, nodes: list[tuple], key: list[str], features: str = "features", target: str | None = None) -> DataFrame:
+def attributions(paths_of: DataFrame, nodes: list[tuple], key: list[str], features: str = "features", target: str | None = None, weights: list[float] | None = None) -> DataFrame:
     """Each feature's contribution to a sample's prediction, in long form.
 
-    A step from a node to its child adds the change of the nodes' mean prediction to the feature that
-    the node splits by (path attribution); contributions and the mean over trees of the root's
-    prediction sum to the ensemble's mean prediction.
+    A step from a node to its child adds the change of the nodes' mean prediction, times what the tree
+    counts in the ensemble (`tree_weights`, without any the same for all), to the feature that the node
+    splits by (path attribution); contributions and `base_value` sum to the ensemble's prediction.
     """
-    shared = paths_of.sparkSession.sparkContext.broadcast(_trees(nodes))
+    trees = _trees(nodes)
+    shared = paths_of.sparkSession.sparkContext.broadcast((trees, weights or [1 / len(trees)] * len(trees)))
     kept = [*key, *([target] if target else [])]
     schema = paths_of.select(*kept).schema.add("feature", "integer").add("value", "double")
 
@@ -135,15 +155,14 @@ def attributions(paths_of: DataFrame, nodes: list[tuple], key: list[str], featur
                 continue
             x = np.stack(pdf[features].to_numpy())
             total = np.zeros(x.shape)
-            for tree in shared.value:
+            for tree, weight in zip(*shared.value):
                 at, rows = np.zeros(len(x), int), np.arange(len(x))
                 while len(rows := rows[tree["left"][at[rows]] >= 0]):
                     node = at[rows]
                     f = tree["feature"][node]
                     child = np.where(x[rows, f] <= tree["threshold"][node], tree["left"][node], tree["right"][node])
-                    total[rows, f] += tree["prediction"][child] - tree["prediction"][node]
+                    total[rows, f] += weight * (tree["prediction"][child] - tree["prediction"][node])
                     at[rows] = child
-            total /= len(shared.value)
             rows, f = np.nonzero(total)
             yield pdf[kept].iloc[rows].reset_index(drop=True).assign(feature=f.astype("int32"), value=total[rows, f])
 
@@ -164,6 +183,12 @@ def tree_spread(paths: DataFrame, key: list[str], sample: bool = True) -> DataFr
     return each.groupBy(*key).agg((F.stddev_samp if sample else F.stddev_pop)("p").alias("tree_sd"))
 
 
+def first_decisions(paths: DataFrame, key: list[str], most: int = 50) -> DataFrame:
+    """Of each sample its first `most` decisions, by tree and depth."""
+    order = Window.partitionBy(*key).orderBy("tree", "depth")
+    return paths.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def feature_trees(nodes: DataFrame) -> DataFrame:
     """The trees that use each feature."""
     return nodes.where("left >= 0").groupBy("feature").agg(F.sort_array(F.collect_set("tree")).alias("trees"))

@@ -79,7 +79,7 @@ def two_rounds(train: DataFrame, test: DataFrame, key: list[str], group: str, ta
     first = boosted(vectors(train, features), target, rounds)
     nodes = explain.node_table(first)
     held = first.transform(vectors(test, features))
-    shares = explain.attributions(held.select(*key, target, F.transform(features, lambda x: x.cast("double")).alias("features")), nodes, key, target=target)
+    shares = explain.attributions(held.select(*key, target, F.transform(features, lambda x: x.cast("double")).alias("features")), nodes, key, target=target, weights=explain.tree_weights(first))
     hurt = {r.feature for r in explain.impacts(shares, held, key, target, "prediction").where((F.col("impact") >= threshold) & (F.col("impact") > 0)).collect()}
     kept = [i for i in range(width) if i not in hurt] or list(range(width))
     narrow = F.array(*[F.get(features, i) for i in kept])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from variantlab.plans.common import query, table
 from variantlab.plans.features import _ALIGNED, aligned
 from variantlab.plans.statistics import _CORR, _RANKS, r6
 from variantlab.streaming import incremental
+from variantlab.tables import scratch
 
 
 @query(f"with g as (select l_suppkey, count(*) as n, {_CORR} as r from ({_RANKS}) group by l_suppkey) select l_suppkey, n, round(r, 6) as r from g where abs(r) < 0.95")
@@ -67,8 +66,7 @@ def stream_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, up to what is there now."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema.simpleString()[7:-1].replace(":", " ")
     rows = incremental.samples(spark, f"{sf_dir}/events.parquet*", schema)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     run = incremental.upsert(incremental.running_means(rows, ["event_type"], "value"), f"{out}/table", f"{out}/checkpoint")
     run.awaitTermination()
     versions = spark.read.parquet(f"{out}/table")
