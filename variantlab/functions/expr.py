@@ -191,7 +191,7 @@ def residue_change(wt: Column, mut: Column) -> dict[str, Column]:
 def shown(value: Column) -> Column:
     """A number with more digits the smaller it is."""
     size = F.abs(value)
-    return F.when(value.isNull(), "None").when(size >= 100, F.format_string("%.0f", value)).when(size >= 1, F.format_string("%.2f", value)).when(size >= 0.001, F.format_string("%.4f", value)).otherwise(F.format_string("%.2e", value))
+    return F.when(value.isNull(), "None").when(size >= 100, F.format_string("%.0f", F.rint(value))).when(size >= 1, F.format_string("%.2f", value)).when(size >= 0.001, F.format_string("%.4f", value)).otherwise(F.format_string("%.2e", value))
 
 
 # Names of feature categories and sub-categories, categories of whole names, and rules by a

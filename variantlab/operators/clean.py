@@ -29,6 +29,11 @@ def enough_structures(samples: DataFrame, count: str, least: int) -> DataFrame:
     return samples.where(F.coalesce(F.col(count), F.lit(0)) >= least)
 
 
+def with_target(samples: DataFrame, target: str) -> DataFrame:
+    """a support table's samples need a target."""
+    return samples.where(F.col(target).isNotNull())
+
+
 def non_finite(x: Column) -> Column:
     """F10."""
     return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))

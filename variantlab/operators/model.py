@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variantlab.operators import explain, stats
+from variantlab.operators import clean, encode, explain, stats
 
 
 def vectors(samples: DataFrame, features: str = "features", name: str = "vector") -> DataFrame:
@@ -135,6 +135,27 @@ def combined_predictions(sets: DataFrame, predictions: DataFrame, key: str, part
     return out.select(key, F.when(F.col("_missing") > 0, F.raise_error(F.lit("a part of a set has no prediction")).cast("double")).otherwise(effect).alias("effect"))
 
 
+def looked_up(rows: DataFrame, predictions: DataFrame, key: list[str], prediction: str) -> DataFrame:
+    """`rows` with the prediction of their key, NULL where there is none."""
+    return rows.join(predictions.select(*key, prediction), key, "left")
+
+
+def prediction_input(rows: DataFrame, key: list[str], known: dict[str, DataFrame], order: str, impute: dict[str, float], features: list[str]) -> DataFrame:
+    """Rows to predict as a feature matrix: categories by the training's dictionaries, new ones after them; NULLs by the training's values."""
+    for column, dictionary in known.items():
+        every = encode.extended(dictionary, rows, column, order)
+        rows = encode.encoded(rows, column, every, "_code").drop(column).withColumnRenamed("_code", column)
+    return encode.matrix(clean.imputed(rows, impute), key, features)
+
+
+def final_model(samples: DataFrame, target: str, kind: str = "forest", **arguments: Any) -> Any:
+    """The model of all samples, a forest or boosted."""
+    kinds = {"forest": forest, "boosted": boosted}
+    if kind not in kinds:
+        raise ValueError(f"no model named {kind!r}; there are forest and boosted")
+    return kinds[kind](samples, target, **arguments)
+
+
 @dataclass
 class Search:
     """Bayesian search of a box, a Gaussian process with a Matern 5/2 kernel and expected improvement. The driver holds only observations."""

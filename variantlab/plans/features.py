@@ -43,16 +43,37 @@ def column_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out.select("prot_id", "pos", "wt", "mut", "wt_share", "mut_share", "gap_share", "column_cover"), "wt_share", "mut_share", "gap_share", "column_cover")
 
 
-@query()
+def _pairs_sql(values: list[tuple]) -> str:
+    return ", ".join(str(v) for v in values)
+
+
+_SHARES = _pairs_sql(list(zip(expr.RESIDUES, alignment.BACKGROUND)))
+_BLOSUM = _pairs_sql([(a, b, v) for a, row in zip(expr.RESIDUES, expr.blosum()) for b, v in zip(expr.RESIDUES, row)])
+_PROFILE = f"""c as ({_CELLS}), a as (select aa, bg from (values {_SHARES}) v(aa, bg)), b as (select x, y, m from (values {_BLOSUM}) v(x, y, m)),
+  p as (select distinct prot_id, pos from c), k as (select prot_id, pos, residue, count(*) as n from c where residue <> '-' group by 1, 2, 3),
+  d as (select u.prot_id, u.pos, u.residue, w.pos as other, count(distinct w.residue) as n from c u join c w using (prot_id, row_nr) where u.residue <> '-' and w.residue <> '-' group by 1, 2, 3, 4),
+  s as (select prot_id, pos, residue, case when any_value(k.n) = 1 then 1 else sum(d.n) / count(*)::double end as sim from d join k using (prot_id, pos, residue) group by 1, 2, 3),
+  h as (select *, greatest(sim / 0.5 - 2, 0) as z from s),
+  e as (select prot_id, pos, residue, case when sim < 1 then 1.0 when sim < {alignment.MOST_SIMILAR} then {list(alignment.EFFECTIVE)}[least((floor(2 * (z - floor(z))) + floor(z))::int, {len(alignment.EFFECTIVE) - 1}) + 1] else {alignment.MOST_EFFECTIVE} end::double as eff from h),
+  t as (select prot_id, pos, sum(eff) as total from e group by 1, 2), g as (select prot_id, pos, aa, bg, coalesce(eff, 0)::double as eff, coalesce(total, 0)::double as total from p cross join a left join t using (prot_id, pos) left join e on e.prot_id = p.prot_id and e.pos = p.pos and e.residue = aa),
+  q as (select g.prot_id, g.pos, b.x as aa, sum(g.eff / g.total * exp({alignment.SCALE} * b.m)) as mix from g join b on b.y = g.aa where g.total > 0 group by 1, 2, 3),
+  f as (select g.prot_id, g.pos::int as pos, g.aa, case when total > 0 then round(ln(greatest(((total - 1) * eff / total + {alignment.PSEUDO} * sqrt(total) * bg * mix) / case when total - 1 + {alignment.PSEUDO} * sqrt(total) = 0 then 1 else total - 1 + {alignment.PSEUDO} * sqrt(total) end / bg, 1e-300)), 3) + 0.0 else 0.0 end as score,
+    (select coalesce(sum(n), 0) from k where k.prot_id = g.prot_id and k.pos = g.pos)::bigint as n_rows from g left join q using (prot_id, pos, aa))"""
+
+
+@query(f"with {_PROFILE} select prot_id, pos, aa, score, n_rows from f")
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.profiles(aligned(spark, sf_dir))
+    """A36-A40."""
+    return alignment.profiles(aligned(spark, sf_dir)).withColumn("score", F.col("score") + 0.0)
 
 
-@query()
+@query(f"""with {_PROFILE}, v as (select prot_id, pos, residue as wt from c where row_nr = 0 and residue <> '-')
+  select v.prot_id, v.pos::int as pos, wt, 'A' as mut, w.score as wt_score, m.score as mut_score, round(w.score - m.score, 3) as difference from v join f w on w.prot_id = v.prot_id and w.pos = v.pos and w.aa = v.wt join f m on m.prot_id = v.prot_id and m.pos = v.pos and m.aa = 'A'""")
 def profile_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = aligned(spark, sf_dir)
     wanted = alignment.column_cells(rows).where("row_nr = 0 and residue <> '-'").select("prot_id", "pos", F.col("residue").alias("wt"), F.lit("A").alias("mut"))
-    return alignment.profile_differences(wanted, alignment.profiles(rows))
+    scores = alignment.profiles(rows).withColumn("score", F.col("score") + 0.0)
+    return alignment.profile_differences(wanted, scores).withColumn("difference", F.round("difference", 3))
 
 
 _DAYS = "select user_id, dayofyear(ts)::int - 1 as pos, value from events"
@@ -123,13 +144,6 @@ def bias_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(select.bias_scores(long, "grp", "label"), "bias")
 
 
-@query()
-def correlated_feature_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = select.pair_statistics(long_features(spark, sf_dir), "vec_id", complete=True)
-    gone = select.correlated_filter(pairs, [f"f{i:02d}" for i in range(64)], 0.1)
-    return spark.createDataFrame([(x,) for x in gone], "feature string")
-
-
 @query(f"select feature from ({LONG}) group by feature having min(value) = max(value) union all select 'none'")
 def constant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.constant_features(long_features(spark, sf_dir)).union(spark.sql("select 'none' as feature"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from variantlab.plans import cleaning, features, modelling, reports, splitting, statistics  # noqa: F401  they register their queries
+from variantlab.plans import cleaning, decisions, features, inputs, modelling, reports, splitting, statistics  # noqa: F401  they register their queries
 from variantlab.plans.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

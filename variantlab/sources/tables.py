@@ -122,6 +122,16 @@ def write_samples(samples: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def write_packed(samples: DataFrame, path: str) -> None:
+    """Samples with their types, packed."""
+    samples.write.mode("overwrite").parquet(path)
+
+
+def packed(spark: SparkSession, path: str) -> DataFrame:
+    """K02, read back."""
+    return spark.read.parquet(path)
+
+
 def write_predictions(predictions: DataFrame, path: str, target: str = "target", prediction: str = "prediction", first: bool = True) -> None:
     """Predictions with their absolute error; later folds are appended to the first."""
     out = predictions.withColumn("Error", F.abs(F.col(target) - F.col(prediction)))
