@@ -4,8 +4,9 @@ Every line is judged by punctuation, navigation and boilerplate rules; failing l
 then a document that has lost too much of its text is rejected, as is one that fails the base
 rules (too few words, or too many words in 8-word windows that the text repeats).
 
-Nulls and empty texts have no words and are rejected.  Repeated rows are judged row by row.  The
-plan is one scan and one projection, so no key or source can be hot, and nothing is shuffled.
+Nulls and empty texts have no words and are rejected.  Repeated rows and rows without doc_id are judged
+row by row, very long texts whole.  An empty table gives an empty result; other columns, whatever their
+names, are kept by `cleaned` and not read by `quality_report`.  The plan is one scan and one projection, so no key or source can be hot, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -118,10 +119,11 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines, in the columns of `docs`."""
-    out = measured(docs).where("q_kept")
+    held = docs.select("text", *[F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(docs.columns)])  # no name of `docs` can clash
+    out = measured(held).where("q_kept")
     text = F.col("q_clean_text")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*[new[x].alias(x) if x in new else F.col(x) for x in docs.columns])
+    return out.select(*[new.get(c, F.col(f"row_{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 #: The same in DuckDB.

@@ -79,7 +79,7 @@ def document_scores(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Noisy-or of each document's sentences."""
     out, some = np.zeros(len(first) - 1), np.flatnonzero(first[1:] > first[:-1])
     if len(some):  # each document's own sum, so that its neighbours don't change its last digits
-        out[some] = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first[some]))
+        out[some] = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p[: first[-1]], 1 - 1e-12)), first[some]))
     return np.clip(out, 0.0, 1.0)
 
 
