@@ -114,7 +114,7 @@ def feature_pair_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(select.pair_statistics(long_features(spark, sf_dir), "vec_id", complete=True), "corr")
 
 
-_HOLES = f"select vec_id, label, feature, case when (vec_id + feature[2:]::int) % 5 = 0 then null else value end as value from ({LONG}) where feature < 'f12'"
+_HOLES = f"select vec_id, label, feature, case when (vec_id + feature[2:]::int) % 5 = 0 then null else value end as value from ({LONG})"
 
 
 @query(f"""with x as (select * from ({_HOLES}) where value is not null), n as (select count(distinct vec_id) as n from ({_HOLES})),
@@ -125,7 +125,7 @@ _HOLES = f"select vec_id, label, feature, case when (vec_id + feature[2:]::int)
   from r join c ca on ca.feature = feat_a join c cb on cb.feature = feat_b, n group by feat_a, feat_b""")
 def feature_pair_corr_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14 with NULLs: ranks are taken anew for each pair."""
-    long = long_features(spark, sf_dir, 12)
+    long = long_features(spark, sf_dir)
     long = long.withColumn("value", F.when((F.col("vec_id") + F.substring("feature", 2, 2).cast("int")) % 5 != 0, F.col("value")))
     return r6(select.pair_statistics(long, "vec_id"), "corr", "cov_a", "cov_b", "cov_both")
 
