@@ -12,6 +12,7 @@ from variantlab.functions import expr
 from variantlab.operators import alignment, clean, encode, explain, model, report, search, select, splits, stats
 from variantlab.sources import sequences, settings, tables
 from variantlab.streaming import incremental
+from variantlab.tables import running
 
 
 def one(spark, column, **values):
@@ -63,7 +64,7 @@ def test_sliced_ranks_are_ranks(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(g), float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 2, 500), rng.integers(0, 40, 500)))]
     df = spark.createDataFrame(rows, "id int, g int, v double")
-    a = {r.id: r.r for r in stats.ranked(df, "v", "r", ["g"], slices=7).collect()}
+    a = {r.id: r.r for r in stats.ranked(df, "v", "r", ["g"]).collect()}
     b = {r.id: r.r for r in df.select("id", stats.avg_rank("v", "g").alias("r")).collect()}
     assert a == b
 
@@ -155,9 +156,51 @@ def test_pair_statistics_with_disjoint_nulls(spark):
     assert (r.cov_a, r.cov_b, r.cov_both) == (0.75, 0.75, 0.5) and r.corr == pytest.approx(1.0)
 
 
-def test_grouped_folds_pack_in_order():
-    sizes = [("a", 50), ("b", 1), ("c", 1), ("d", 1), ("e", 20), ("f", 20)]
-    assert splits.pack_groups(sizes, 4) == [("a", 0), ("b", 1), ("c", 1), ("d", 1), ("e", 1), ("f", 2)]
+def packed_in_order(sizes, k):
+    """The fold of each size, one after the other."""
+    share, out, size = sum(sizes) / k, [], 0
+    for n in sizes:
+        fold = out[-1] if out else 0
+        if fold < k - 1 and size and (size >= share or abs(size + n - share) > abs(size - share)):
+            fold, size = fold + 1, 0
+        out.append(fold)
+        size += n
+    return out
+
+
+def test_grouped_folds_pack_in_order(spark):
+    rng = np.random.default_rng(5)
+    for sizes in ([50, 1, 1, 1, 20, 20], [3], [1, 1, 60, 1], rng.integers(1, 30, 40).tolist()):
+        df = spark.createDataFrame([(f"{i:03d}",) for i, n in enumerate(sizes) for _ in range(n)], "g string")
+        got = dict(splits.grouped_kfold(df, "g", 4).distinct().collect())
+        assert [got[f"{i:03d}"] for i in range(len(sizes))] == packed_in_order(sizes, 4)
+    assert packed_in_order([50, 1, 1, 1, 20, 20], 4) == [0, 1, 1, 1, 1, 2]
+    assert splits.grouped_kfold(df.limit(0), "g").count() == 0
+
+
+def test_running_totals_and_quantiles(spark):
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 40, 300)
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values)], "id int, v int").repartition(5)
+    got = {r.id: r.s for r in running(df, ["v", "id"], {"s": F.col("v")}).collect()}
+    order = sorted(range(300), key=lambda i: (values[i], i))
+    assert got == dict(zip(order, np.cumsum(values[order]).tolist()))
+    rows = [(g, None if v % 11 == 0 else float(v)) for g, v in zip(["a", "b", None, "a"] * 75, values)] + [("empty", None), ("one", 2.5)]
+    parts = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.low, r.mid, r.top) for r in stats.quantiles(parts, ["g"], "v", {"low": 0.25, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, found in got.items():
+        assert found == pytest.approx(np.quantile([v for h, v in rows if h == g and v is not None], [0.25, 0.5, 1.0]))
+    assert stats.quantiles(parts.limit(0), ["g"], "v", {"mid": 0.5}).count() == 0
+
+
+def test_large_groups_are_levelled_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LEVELLED", 50)
+    df = spark.range(1000).select("id", F.when(F.col("id") < 800, "hot").otherwise("other").alias("g"), (F.xxhash64("id") % 100 / 100.0).alias("v"))
+    got = splits.levelled(df, "g", "id", "v", 0.1)
+    assert got.count() == got.select("id").distinct().count() > 500
+    for r in got.groupBy("g").agg(F.avg("v").alias("m")).collect():
+        assert abs(r.m - 0.1) < 0.1
 
 
 def test_folds_and_leaks(spark):

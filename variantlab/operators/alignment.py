@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variantlab.functions.expr import RESIDUES, blosum, residue_index
+from variantlab.operators.stats import by_group, quantiles
 
 #: Width of the position window.
 WIDTH = 21
@@ -66,7 +67,7 @@ def position_medians(rows: DataFrame, group: str, pos: str, value: str) -> DataF
 
 def group_median(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """`rows` with their group's median; an aggregate joined back, so a large group is no single task."""
-    return rows.join(rows.groupBy(group).agg(F.median(value).alias(name)), group)
+    return by_group(rows, quantiles(rows, [group], value, {name: 0.5}), [group])
 
 
 def window_medians(medians: DataFrame, group: str, pos: str, value: str = "median", width: int = WIDTH) -> DataFrame:

@@ -29,8 +29,7 @@ def pair_statistics(long: DataFrame, sample: str, target: str | None = None, fea
     total = long.select(sample).distinct().agg(F.count("*").alias("n_all"))
     each = given.groupBy(feature).agg(F.count("*").alias("n"))
     if target:
-        own = given.where(F.col(target).isNotNull()).select(feature, avg_rank("v", feature).alias("r"), avg_rank(target, feature).alias("t"))
-        each = each.join(own.groupBy(feature).agg(safe_corr("r", "t").alias("tv")), feature, "left")
+        each = each.join(target_correlation(given.select(feature, "v", target), target, feature, "v"), feature, "left")
     if complete:
         out = _rank_matrix(given, sample, feature)
         return _with_cover(out, each, total, feature, bool(target))
@@ -100,7 +99,7 @@ def constant_features(long: DataFrame, feature: str = "feature", value: str = "v
 def target_correlation(long: DataFrame, target: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """Spearman of each feature with the target; NULL if it can't be had."""
     rows = long.where(F.col(value).isNotNull() & F.col(target).isNotNull())
-    ranks = rows.select(feature, avg_rank(value, feature).alias("_a"), avg_rank(target, feature).alias("_b"))
+    ranks = ranked(ranked(rows.select(feature, value, target), value, "_a", [feature]), target, "_b", [feature])
     return ranks.groupBy(feature).agg(safe_corr("_a", "_b").alias("tv"))
 
 

@@ -6,12 +6,13 @@ same rows are taken on any cluster and however the input is partitioned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from variantlab.operators.stats import by_group
+from variantlab.tables import running
+
 
 def shuffled(*key: str, seed: int = 0) -> Column:
     """A hexadecimal value by which rows are in random order."""
@@ -32,13 +33,13 @@ def holdout(rows: DataFrame, key: list[str], rate: float = 0.2, seed: int = 0) -
 def grouped_holdout(rows: DataFrame, group: str, rate: float = 0.2, seed: int = 0) -> DataFrame:
     """X01 by group: whole groups in random order are test until these hold test_size * (1 - rate) rows, where test_size is a share `rate` of all.
 
-    The window runs over one row per group.
+    What came before a group is a running total over slices of the order.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    order = Window.orderBy(shuffled(group, seed=seed), group)
-    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    aim = F.greatest(F.lit(1), F.floor(F.sum("_n").over(Window.partitionBy()) * rate))
-    chosen = sizes.select(group, (before < aim - aim * rate).alias("test"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_h", shuffled(group, seed=seed))
+    placed = running(sizes, ["_h", group], {"_to": F.col("_n")})
+    aim = F.greatest(F.lit(1), F.floor(F.col("_total") * rate))
+    total = sizes.agg(F.sum("_n").alias("_total"))
+    chosen = placed.crossJoin(F.broadcast(total)).select(group, (F.col("_to") - F.col("_n") < aim - aim * rate).alias("test"))
     return rows.join(chosen, group)
 
 
@@ -47,29 +48,24 @@ def kfold(rows: DataFrame, key: list[str], k: int = 4, seed: int = 0) -> DataFra
     return rows.withColumn("fold", F.pmod(F.conv(F.substring(shuffled(*key, seed=seed), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
 
 
-def pack_groups(sizes: Iterator[tuple[object, int]], k: int) -> list[tuple[object, int]]:
-    """Groups in order into k folds: a fold closes when one more group would leave it further from its share. What is left has the last fold."""
-    rows = list(sizes)
-    share, out, fold, size = sum(n for _, n in rows) / k, [], 0, 0
-    for name, n in rows:
-        if fold < k - 1 and size and (size >= share or abs(size + n - share) > abs(size - share)):
-            fold, size = fold + 1, 0
-        out.append((name, fold))
-        size += n
-    return out
-
-
 def grouped_kfold(rows: DataFrame, group: str, k: int = 4) -> DataFrame:
-    """X02 by group: `fold` of every row; groups are packed in order of their name, so this is one task over one row per group."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    kind = rows.schema[group].dataType.simpleString()
+    """X02 by group: `fold` of every row; groups are packed in order of their name, and what is left has the last fold.
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(group)
-        return pd.DataFrame(pack_groups(zip(table[group], table["n"]), k), columns=[group, "fold"])
-
-    folds = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"`{group}` {kind}, fold int")
-    return rows.join(folds, group)
+    A fold closes before a group that would leave it further from its share of the rows.  Where it
+    does follows from running totals over slices, so the driver gets one number for each fold.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    placed = running(sizes, [group], {"_to": F.col("_n")}).withColumn("_before", F.col("_to") - F.col("_n"))
+    share, starts = (placed.agg(F.max("_to")).first()[0] or 0) / k, []
+    for _ in range(k - 1):
+        size = F.col("_before") - (starts[-1] if starts else 0)
+        closes = (size > 0) & ((size >= share) | (F.abs(size + F.col("_n") - share) > F.abs(size - share)))
+        start = placed.where(closes).agg(F.min("_before")).first()[0]
+        if start is None:
+            break
+        starts.append(start)
+    fold = sum((F.when(F.col("_before") >= s, 1).otherwise(0) for s in starts), F.lit(0))
+    return rows.join(placed.select(group, fold.cast("int").alias("fold")), group)
 
 
 def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
@@ -130,8 +126,16 @@ def level(low: list[tuple], high: list[tuple], threshold: float) -> list[tuple]:
     return out
 
 
+#: Rows of a group that are levelled together.
+LEVELLED = 100_000
+
+
 def levelled(rows: DataFrame, group: str, key: str, target: str, threshold: float) -> DataFrame:
-    """Of each group a subsample whose mean stays at the threshold; groups on one side of it go."""
+    """Of each group a subsample whose mean stays at the threshold; groups on one side of it go.
+
+    A group of m rows is dealt by a hash of the key to ceil(m / LEVELLED) parts, each levelled by
+    itself, so that no task has a whole large group.
+    """
     g, k = (rows.schema[c].dataType.simpleString() for c in (group, key))
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +144,10 @@ def levelled(rows: DataFrame, group: str, key: str, target: str, threshold: floa
         got = level([p for p in pairs if p[1] < threshold], [p for p in pairs if p[1] >= threshold], threshold)
         return pd.DataFrame({group: table[group].iloc[0], key: [a for a, _ in got], target: [b for _, b in got]})
 
-    return rows.where(F.col(target).isNotNull()).select(group, key, target).groupBy(group).applyInPandas(run, f"`{group}` {g}, `{key}` {k}, `{target}` double")
+    given = rows.where(F.col(target).isNotNull()).select(group, key, target)
+    parts = given.groupBy(group).agg(F.ceil(F.count("*") / LEVELLED).alias("_parts"))
+    dealt = by_group(given, parts, [group]).withColumn("_part", F.pmod(F.xxhash64(key), "_parts")).drop("_parts")
+    return dealt.groupBy(group, "_part").applyInPandas(run, f"`{group}` {g}, `{key}` {k}, `{target}` double")
 
 
 def inverse_frequency(rows: DataFrame, group: str, role: str) -> DataFrame:
@@ -150,20 +157,35 @@ def inverse_frequency(rows: DataFrame, group: str, role: str) -> DataFrame:
     return rows.join(F.broadcast(roles), role).join(groups, group).withColumn("weight", F.col("_role") / F.col("_group")).drop("_role", "_group")
 
 
-def distance_weights(rows: DataFrame, target: str, power: float = 2.0) -> DataFrame:
-    """Distinct targets with the mean of |difference|^power over all rows.
+def _mean_distance(values: DataFrame, others: DataFrame, target: str, power: float) -> DataFrame:
+    """Distinct `values` with `weight`, the mean of |difference|^power over `others`.
 
-    For power 2 that is (t - mean)^2 + variance; else distinct values meet with their counts, never rows.
+    For power 2 that is (t - mean)^2 + variance; for power 1 it follows from running totals of rows
+    and of their sum.  For other powers distinct values meet with their counts, never rows.
     """
-    values = rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))
     if power == 2:
-        m = rows.agg(F.avg(target).alias("_m"), F.var_pop(target).alias("_v"))
+        m = others.agg(F.avg(target).alias("_m"), F.var_pop(target).alias("_v"))
         return values.crossJoin(F.broadcast(m)).select(target, (F.pow(F.col(target) - F.col("_m"), F.lit(2.0)) + F.col("_v")).alias("weight"))
-    other = values.select(F.col(target).alias("_t"), F.col("n").alias("_n"))
+    counts = others.groupBy(target).agg(F.count("*").alias("_n"))
+    if power == 1:
+        t = F.col(target).cast("double")
+        both = values.select(target, F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asked")).unionByName(counts.withColumn("_asked", F.lit(False)))
+        both = both.groupBy(target).agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
+        placed = running(both, [target], {"_to": F.col("_n"), "_sum": F.col("_n") * t}).where("_asked")
+        all_ = counts.agg(F.sum("_n").alias("_rows"), F.sum(F.col("_n") * t).alias("_total"))
+        apart = t * (2 * F.col("_to") - F.col("_rows")) - 2 * F.col("_sum") + F.col("_total")
+        return placed.crossJoin(F.broadcast(all_)).select(target, (apart / F.col("_rows")).alias("weight"))
+    other = counts.withColumnRenamed(target, "_t")
     d = F.pow(F.abs(F.col(target) - F.col("_t")), F.lit(power))
     return values.crossJoin(other).groupBy(target).agg((F.sum(d * F.col("_n")) / F.sum("_n")).alias("weight"))
 
 
+def distance_weights(rows: DataFrame, target: str, power: float = 2.0) -> DataFrame:
+    """Distinct targets with the mean of |difference|^power over all rows."""
+    given = rows.where(F.col(target).isNotNull()).select(target)
+    return _mean_distance(given.distinct(), given, target, power)
+
+
 def group_means(train: DataFrame, rows: DataFrame, by: list[str], target: str, name: str, default: float = 0.5) -> DataFrame:
     """The mean training target of each row's group, or a default where training has none."""
     means = train.groupBy(*by).agg(F.avg(target).alias("_mean"))
@@ -171,16 +193,11 @@ def group_means(train: DataFrame, rows: DataFrame, by: list[str], target: str, n
 
 
 def sampled_distance_weights(rows: DataFrame, key: list[str], target: str, power: float = 2.0, seed: int = 0) -> DataFrame:
-    """Mean |difference|^power of each distinct target to a sample of min(n, max(100, round(n / 200))) rows.
-
-    The sample's distinct values with their counts meet the distinct values, never rows with rows.
-    """
+    """Mean |difference|^power of each distinct target to a sample of min(n, max(100, round(n / 200))) rows."""
     given = rows.where(F.col(target).isNotNull())
     n = given.count()
-    some = sample_rows(given, key, min(n, max(100, round(0.005 * n))), seed).groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("_n"))
-    values = given.select(target).distinct()
-    d = F.pow(F.abs(F.col(target) - F.col("_t")), F.lit(power))
-    return values.crossJoin(some).groupBy(target).agg((F.sum(d * F.col("_n")) / F.sum("_n")).alias("weight"))
+    some = sample_rows(given, key, min(n, max(100, round(0.005 * n))), seed)
+    return _mean_distance(given.select(target).distinct(), some.select(target), target, power)
 
 
 def without_groups(rows: DataFrame, group: str, *excluded: DataFrame) -> DataFrame:

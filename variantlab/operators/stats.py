@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the value range when a rank must not depend on one task holding a group.
-SLICES = 200
+from variantlab.tables import running
 
 
 def avg_rank(value: str, *by: str) -> Column:
@@ -15,21 +14,46 @@ def avg_rank(value: str, *by: str) -> Column:
     return F.rank().over(group.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def ranked(df: DataFrame, value: str, name: str, by: list[str] | None = None, slices: int = SLICES) -> DataFrame:
+def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Distinct values of each group with `_n`, their rows, and `_to`, the rows up to them in the order of group and value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return running(counts, [*by, value], {"_to": F.col("_n")})
+
+
+def by_group(df: DataFrame, groups: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """`df` with the other columns of `groups`, of its group by `by`; NULL is a group like others."""
+    named = groups.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(named, same, how).drop(*[f"_by_{c}" for c in by]) if by else df.crossJoin(F.broadcast(groups))
+
+
+def _placed(counts: DataFrame, by: list[str]) -> DataFrame:
+    """`_counted` rows with `_to` counted from the start of their group, and `_all`, the group's rows."""
+    groups = counts.groupBy(*by).agg(F.min(F.col("_to") - F.col("_n")).alias("_base"), F.sum("_n").alias("_all"))
+    return by_group(counts, groups, by, "inner").withColumn("_to", F.col("_to") - F.col("_base")).drop("_base")
+
+
+def ranked(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Tie-averaged rank of `value` as column `name`, over all rows or in each group, with no task for a whole group.
 
-    Approximate quantiles cut the value range into slices; ranks are taken in each slice of a group
-    and shifted by the number of rows in the slices before it.  NULL values get no rank.
+    Distinct values with their numbers of rows get running totals over slices.  NULL values get no rank.
     """
     by = by or []
-    edges = sorted(set(df.stat.approxQuantile(value, [i / slices for i in range(1, slices)], 0.25 / slices)))
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
-    cut = df.withColumn("_slice", F.when(F.col(value).isNotNull(), place))
-    counts = cut.where("_slice is not null").groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = cut.join(counts, [*by, "_slice"], "left").withColumn(name, F.when(F.col("_slice").isNotNull(), F.col("_before") + avg_rank(value, *by, "_slice")))
-    return out.select(*df.columns, name)
+    ranks = _placed(_counted(df, value, by), by).select(*by, value, (F.col("_to") - (F.col("_n") - 1) / 2).alias(name))
+    return by_group(df, ranks, [*by, value]).select(*df.columns, name)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles by name, each between its two neighbours; groups without a value are left out.
+
+    No task has a group's values: they are counted, and running totals tell which rows are asked for.
+    """
+    rows = _placed(_counted(df, value, by), by)
+    at = {name: (F.col("_all") - 1) * F.lit(float(q)) for name, q in shares.items()}
+    here = lambda i: F.max(F.when((F.col("_to") - F.col("_n") <= i) & (i < F.col("_to")), F.col(value).cast("double")))
+    ends = [c for name, x in at.items() for c in (here(F.floor(x)).alias(f"_a_{name}"), here(F.ceil(x)).alias(f"_b_{name}"), F.max(x - F.floor(x)).alias(f"_p_{name}"))]
+    found = rows.groupBy(*by).agg(*ends)
+    return found.select(*by, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_p_{n}")).alias(n) for n in shares])
 
 
 def safe_corr(a: str | Column, b: str | Column) -> Column:
@@ -48,7 +72,7 @@ def group_pearson(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 def group_spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """A02 by group, on rows where both are given: n and r."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranks = both.select(*by, avg_rank(a, *by).alias("_a"), avg_rank(b, *by).alias("_b"))
+    ranks = ranked(ranked(both.select(*by, a, b), a, "_a", by), b, "_b", by)
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), safe_corr("_a", "_b").alias("r"))
 
 
@@ -97,7 +121,7 @@ def classification_scores(df: DataFrame, label: str, predicted: str, by: list[st
 def matthews(df: DataFrame, a: str, b: str) -> DataFrame:
     """Matthews' correlation of two numbers, each cut at its median."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cut = rows.agg(F.median(a).alias("_ma"), F.median(b).alias("_mb"))
+    cut = quantiles(rows, [], a, {"_ma": 0.5}).crossJoin(quantiles(rows, [], b, {"_mb": 0.5}))
     both = rows.crossJoin(F.broadcast(cut)).select(F.when(F.col(a) < F.col("_ma"), 0).otherwise(1).alias("y"), F.when(F.col(b) < F.col("_mb"), 0).otherwise(1).alias("p"))
     counts = both.agg(*[c.cast("double").alias(k) for k, c in confusion_counts(F.col("y"), F.col("p")).items()])
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
@@ -108,7 +132,7 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     """Area under the ROC curve by the rank sum; NULL with one class only."""
     by = by or []
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    ranks = rows.select(*by, F.col(label).alias("_y"), avg_rank(score, *by).alias("_r")) if by else ranked(rows.select(F.col(label).alias("_y"), F.col(score).cast("double").alias("_s")), "_s", "_r")
+    ranks = ranked(rows.select(*by, F.col(label).alias("_y"), F.col(score).alias("_s")), "_s", "_r", by)
     out = ranks.groupBy(*by).agg(F.count_if(F.col("_y") == 1).alias("n_pos"), F.count_if(F.col("_y") == 0).alias("n_neg"), F.sum(F.when(F.col("_y") == 1, F.col("_r"))).alias("_sum"))
     area = F.try_divide(F.col("_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, (F.col("n_pos") * F.col("n_neg")).cast("double"))
     return out.select(*by, "n_pos", "n_neg", area.alias("auc"))
@@ -116,7 +140,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
 
 def feature_stats(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Minimum, maximum, mean and median of each feature, NULLs left out."""
-    return long.groupBy(feature).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    rows = long.groupBy(feature).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
+    return by_group(rows, quantiles(long, [feature], value, {"median": 0.5}), [feature])
 
 
 def weighted_moments(df: DataFrame, value: str, quantity: str) -> DataFrame:
@@ -128,9 +153,7 @@ def weighted_moments(df: DataFrame, value: str, quantity: str) -> DataFrame:
 
 def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """A10: quartiles, each the value at a quarter of the rows or the middle of its two neighbours."""
-    p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    got = df.groupBy(*by).agg(F.percentile(value, p).alias("q"))
-    return got.select(*by, *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    return quantiles(df, by, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
 
 
 def mean_scores(scores: DataFrame, columns: list[str], spread: str) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Tables between stages, and connected components."""
+"""Tables between stages, running totals, and connected components."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,15 +36,37 @@ def removed(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """`rows` with totals of columns over all rows up to each one, in an order without ties, by name.
+
+    Ranges of the order are slices, as many as shuffle partitions; totals are taken in each slice and
+    shifted by those of the slices before it, so no task has all rows.  The slices are a written
+    table: how rows were dealt can't change when an executor is lost.
+    """
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = rows.select("*", *[c.alias(f"_own_{name}") for name, c in sums.items()])
+    dealt = written(given.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    every = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_slice").agg(*[F.sum(f"_own_{name}").alias(f"_all_{name}") for name in sums])
+    starts = starts.select("_slice", *[F.coalesce(F.sum(f"_all_{name}").over(every), F.lit(0)).alias(f"_start_{name}") for name in sums])
+    up_to = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.select("*", *[F.sum(f"_own_{name}").over(up_to).alias(f"_up_{name}") for name in sums])
+    return inside.join(F.broadcast(starts), "_slice").select(*rows.columns, *[(F.col(f"_start_{name}") + F.col(f"_up_{name}")).alias(name) for name in sums])
+
+
 #: A vertex with more than a share of 1 / HOT of all edge ends has its minimum broadcast: there are fewer than HOT of them.
 HOT = 1000
 
 
 def _with_low(rows: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """`rows` with `m` of their `u` from `low` (u, m, n), where at most `HOT` vertices have n > most: those never meet in one task."""
-    hot = F.broadcast(low.where(F.col("n") > most).select("u", "m"))
-    rest = rows.join(F.broadcast(low.where(F.col("n") > most).select("u")), "u", "left_anti")
-    return rows.join(hot, "u").unionByName(rest.join(low.where(F.col("n") <= most).select("u", "m"), "u"))
+    """`rows` with `m` of their `u` from `low` (u, m, n), where fewer than `HOT` vertices have n > most.
+
+    Those get it by a broadcast; in the join of the others their rows are dealt by `v` and match nothing.
+    """
+    hot = F.broadcast(low.where(F.col("n") > most).select("u", F.col("m").alias("_hot")))
+    known = rows.join(hot, "u", "left").withColumn("_side", F.col("_hot").isNotNull()).withColumn("_k", F.when(F.col("_side"), F.col("v")).otherwise(F.col("u")))
+    rest = low.where(F.col("n") <= most).select(F.col("u").alias("_k"), F.lit(False).alias("_side"), F.col("m").alias("_low"))
+    return known.join(rest, ["_k", "_side"], "left").select("u", "v", F.coalesce("_hot", "_low").alias("m"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
