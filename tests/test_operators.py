@@ -194,6 +194,14 @@ def test_running_totals_and_quantiles(spark):
     assert stats.quantiles(parts.limit(0), ["g"], "v", {"mid": 0.5}).count() == 0
 
 
+def test_group_correlation_in_slices(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 5 > 0, "hot").alias("g"), F.pmod(F.xxhash64("id"), F.lit(30)).alias("a"), (F.col("id") % 37).cast("double").alias("b"))
+    one, two = ({r.g: (r.n, r.r) for r in stats.group_spearman(df, ["g"], "a", "b", sliced).collect()} for sliced in (False, True))
+    assert set(one) == {"hot", None}
+    for g in one:
+        assert one[g] == pytest.approx(two[g])
+
+
 def test_large_groups_are_levelled_in_parts(spark, monkeypatch):
     monkeypatch.setattr(splits, "LEVELLED", 50)
     df = spark.range(1000).select("id", F.when(F.col("id") < 800, "hot").otherwise("other").alias("g"), (F.xxhash64("id") % 100 / 100.0).alias("v"))

@@ -69,10 +69,13 @@ def group_pearson(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(a, b).alias("r"))
 
 
-def group_spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """A02 by group, on rows where both are given: n and r."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranks = ranked(ranked(both.select(*by, a, b), a, "_a", by), b, "_b", by)
+def group_spearman(df: DataFrame, by: list[str], a: str, b: str, sliced: bool = False) -> DataFrame:
+    """A02 by group, on rows where both are given: n and r.
+
+    Ranks are windows over groups, which must fit a task; sliced: they are taken in slices, for few or very uneven groups.
+    """
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    ranks = ranked(ranked(both, a, "_a", by), b, "_b", by) if sliced else both.select(*by, avg_rank(a, *by).alias("_a"), avg_rank(b, *by).alias("_b"))
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), safe_corr("_a", "_b").alias("r"))
 
 
@@ -165,5 +168,5 @@ def score_record(df: DataFrame, true: str, pred: str, group: str) -> DataFrame:
     """One row with every regression score: n, mse, r2, pearson, spearman, mcc and the mean over groups of |Spearman|."""
     scores = regression_scores(df, true, pred)
     rank = spearman(df, true, pred).select(F.col("r").alias("spearman"))
-    groups = mean_group_corr(group_spearman(df, [group], true, pred)).select(F.col("mean_abs_r").alias("mean_spearman"))
+    groups = mean_group_corr(group_spearman(df, [group], true, pred, sliced=True)).select(F.col("mean_abs_r").alias("mean_spearman"))
     return scores.crossJoin(rank).crossJoin(matthews(df, true, pred)).crossJoin(groups)
