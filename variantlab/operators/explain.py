@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import factorial
 from typing import Any
 
 import numpy as np
@@ -35,10 +37,11 @@ def path_weights(rows: DataFrame, path: str, depth: str, name: str) -> DataFrame
     return rows.withColumn(name, F.exp(F.sum(F.log(F.log2(F.col(depth) + 1))).over(along)))
 
 
-def node_table(model: Any) -> list[tuple[int, int, int, int, int, float, float, int]]:
-    """(tree, node, left, right, feature, threshold, prediction, depth) of a fitted tree ensemble, by its public debug string's nodes.
+def node_table(model: Any) -> list[tuple[int, int, int, int, int, float, float, int, float]]:
+    """(tree, node, left, right, feature, threshold, prediction, depth, cover) of a fitted tree ensemble.
 
-    left is -1 for a leaf; depth is 1 at the root.  A model fits the driver.
+    left is -1 for a leaf; depth is 1 at the root; cover is the weight of the training rows that came to
+    the node.  A model fits the driver.
     """
     out = []
     for t, tree in enumerate(model.trees):
@@ -47,11 +50,11 @@ def node_table(model: Any) -> list[tuple[int, int, int, int, int, float, float,
         while todo:
             node, number, depth = todo.pop()
             if node.getClass().getSimpleName() == "LeafNode":
-                out.append((t, number, -1, -1, -1, 0.0, float(node.prediction()), depth))
+                out.append((t, number, -1, -1, -1, 0.0, float(node.prediction()), depth, float(node.impurityStats().count())))
                 continue
             left, right = count, count + 1
             count += 2
-            out.append((t, number, left, right, int(node.split().featureIndex()), float(node.split().threshold()), float(node.prediction()), depth))
+            out.append((t, number, left, right, int(node.split().featureIndex()), float(node.split().threshold()), float(node.prediction()), depth, float(node.impurityStats().count())))
             todo += [(node.leftChild(), left, depth + 1), (node.rightChild(), right, depth + 1)]
     return out
 
@@ -73,7 +76,8 @@ def _trees(nodes: list[tuple]) -> list[dict[str, np.ndarray]]:
     for t in sorted({n[0] for n in nodes}):
         own = sorted(n for n in nodes if n[0] == t)
         columns = list(zip(*own))
-        out.append({k: np.array(columns[i]) for k, i in (("left", 2), ("right", 3), ("feature", 4), ("threshold", 5), ("prediction", 6), ("depth", 7))})
+        names = ("left", "right", "feature", "threshold", "prediction", "depth", "cover")
+        out.append({k: np.array(c) for k, c in zip(names, columns[2:])})
     return out
 
 
@@ -135,38 +139,94 @@ def worst_confusion(parts: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.max("confusion").alias("confusion"))
 
 
-def attributions(paths_of: DataFrame, nodes: list[tuple], key: list[str], features: str = "features", target: str | None = None, weights: list[float] | None = None) -> DataFrame:
-    """Each feature's contribution to a sample's prediction, in long form.
-
-    A step from a node to its child adds the change of the nodes' mean prediction, times what the tree
-    counts in the ensemble (`tree_weights`, without any the same for all), to the feature that the node
-    splits by (path attribution); contributions and `base_value` sum to the ensemble's prediction.
-    """
-    trees = _trees(nodes)
-    shared = paths_of.sparkSession.sparkContext.broadcast((trees, weights or [1 / len(trees)] * len(trees)))
+def _contributions(samples: DataFrame, key: list[str], features: str, target: str | None, sums: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """`sums` of each batch's feature matrix in long form: a row per sample and feature whose value isn't 0."""
     kept = [*key, *([target] if target else [])]
-    schema = paths_of.select(*kept).schema.add("feature", "integer").add("value", "double")
+    schema = samples.select(*kept).schema.add("feature", "integer").add("value", "double")
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf[features].to_numpy())
-            total = np.zeros(x.shape)
-            for tree, weight in zip(*shared.value):
-                at, rows = np.zeros(len(x), int), np.arange(len(x))
-                while len(rows := rows[tree["left"][at[rows]] >= 0]):
-                    node = at[rows]
-                    f = tree["feature"][node]
-                    child = np.where(x[rows, f] <= tree["threshold"][node], tree["left"][node], tree["right"][node])
-                    total[rows, f] += weight * (tree["prediction"][child] - tree["prediction"][node])
-                    at[rows] = child
+            total = sums(np.stack(pdf[features].to_numpy()))
             rows, f = np.nonzero(total)
             yield pdf[kept].iloc[rows].reset_index(drop=True).assign(feature=f.astype("int32"), value=total[rows, f])
 
-    return paths_of.select(*kept, features).mapInPandas(run, schema)
+    return samples.select(*kept, features).mapInPandas(run, schema)
+
+
+def attributions(samples: DataFrame, nodes: list[tuple], key: list[str], features: str = "features", target: str | None = None, weights: list[float] | None = None) -> DataFrame:
+    """M15, by path: each feature's contribution to a sample's prediction, in long form.
+
+    A step from a node to its child adds the change of the nodes' mean prediction, times what the tree
+    counts in the ensemble (`tree_weights`, without any the same for all), to the feature that the node
+    splits by (path attribution); contributions and `base_value` sum to the ensemble's prediction.
+    """
+    trees = _trees(nodes)
+    shared = samples.sparkSession.sparkContext.broadcast((trees, weights or [1 / len(trees)] * len(trees)))
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(x.shape)
+        for tree, weight in zip(*shared.value):
+            at, rows = np.zeros(len(x), int), np.arange(len(x))
+            while len(rows := rows[tree["left"][at[rows]] >= 0]):
+                node = at[rows]
+                f = tree["feature"][node]
+                child = np.where(x[rows, f] <= tree["threshold"][node], tree["left"][node], tree["right"][node])
+                total[rows, f] += weight * (tree["prediction"][child] - tree["prediction"][node])
+                at[rows] = child
+        return total
+
+    return _contributions(samples, key, features, target, sums)
+
+
+def _boxes(tree: dict[str, np.ndarray]) -> list[tuple[float, list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Each leaf's prediction, the features on its path, the bounds (above, up to) of each, and the share of rows that pass all splits by it."""
+    out, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if tree["left"][node] < 0:
+            f = list(path)
+            out.append((float(tree["prediction"][node]), f, *np.array([path[i] for i in f]).reshape(-1, 3).T))
+            continue
+        f, t = int(tree["feature"][node]), float(tree["threshold"][node])
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        left, right = int(tree["left"][node]), int(tree["right"][node])
+        of = share / (tree["cover"][node] or 1.0)
+        todo.append((left, path | {f: (low, min(high, t), of * tree["cover"][left])}))
+        todo.append((right, path | {f: (max(low, t), high, of * tree["cover"][right])}))
+    return out
+
+
+def shapley(samples: DataFrame, nodes: list[tuple], key: list[str], features: str = "features", target: str | None = None, weights: list[float] | None = None) -> DataFrame:
+    """Each feature's Shapley value for a sample's prediction, in long form, where unknown features follow the training rows' shares.
+
+    A leaf counts in a coalition as a product over the features of its path: whether the sample passes
+    (in the coalition) or the share of rows that do (outside).  Sums over coalitions of one size are the
+    coefficients of a product of linear terms, so a leaf costs the cube of its path's features, not
+    their power set.  Values and `base_value` sum to the ensemble's prediction.
+    """
+    boxes = [_boxes(tree) for tree in _trees(nodes)]
+    shared = samples.sparkSession.sparkContext.broadcast((boxes, weights or [1 / len(boxes)] * len(boxes)))
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(x.shape)
+        for leaves, weight in zip(*shared.value):
+            for prediction, path, low, high, share in leaves:
+                n = len(path)
+                passes = (~(x[:, path] <= low) & ((x[:, path] <= high) | np.isinf(high))).astype(float)
+                by_size = [factorial(k) * factorial(n - 1 - k) / factorial(n) for k in range(n)]
+                for i in range(n):
+                    sizes = np.zeros((len(x), n))
+                    sizes[:, 0] = 1.0
+                    for j in set(range(n)) - {i}:
+                        grown = sizes * share[j]
+                        grown[:, 1:] += sizes[:, :-1] * passes[:, j : j + 1]
+                        sizes = grown
+                    total[:, path[i]] += weight * prediction * (passes[:, i] - share[i]) * (sizes @ by_size)
+        return total
+
+    return _contributions(samples, key, features, target, sums)
 
 
 def impacts(contributions: DataFrame, predicted: DataFrame, key: list[str], target: str, prediction: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import product
 from typing import Any
 
 import numpy as np
@@ -79,7 +80,7 @@ def two_rounds(train: DataFrame, test: DataFrame, key: list[str], group: str, ta
     first = boosted(vectors(train, features), target, rounds)
     nodes = explain.node_table(first)
     held = first.transform(vectors(test, features))
-    shares = explain.attributions(held.select(*key, target, F.transform(features, lambda x: x.cast("double")).alias("features")), nodes, key, target=target, weights=explain.tree_weights(first))
+    shares = explain.shapley(held.select(*key, target, F.transform(features, lambda x: x.cast("double")).alias("features")), nodes, key, target=target, weights=explain.tree_weights(first))
     hurt = {r.feature for r in explain.impacts(shares, held, key, target, "prediction").where((F.col("impact") >= threshold) & (F.col("impact") > 0)).collect()}
     kept = [i for i in range(width) if i not in hurt] or list(range(width))
     narrow = F.array(*[F.get(features, i) for i in kept])
@@ -206,28 +207,47 @@ class Search:
             self.seen.append((point, float(objective(point))))
         return max(self.seen, key=lambda s: s[1])
 
-    def sweep(self, objective: Callable[[dict[str, float]], float], base: dict[str, float], name: str, steps: int) -> tuple[dict[str, float], float]:
-        """One coordinate over its range, the others held."""
-        a, b = self.bounds[name]
-        for v in np.linspace(a, b, steps):
-            point = base | {name: float(round(v)) if name in self.whole else float(v)}
+    def _step(self, name: str, steps: int) -> list[float]:
+        values = np.linspace(*self.bounds[name], steps)
+        return list(dict.fromkeys(float(round(v)) if name in self.whole else float(v) for v in values))
+
+    def sweep(self, objective: Callable[[dict[str, float]], float], base: dict[str, float], names: str | list[str], steps: int) -> tuple[dict[str, float], float]:
+        """A grid over one coordinate, or two or three together, the others held; points that were seen are left out."""
+        names = [names] if isinstance(names, str) else names
+        for values in product(*[self._step(name, steps) for name in names]):
+            point = base | dict(zip(names, values))
             if all(point != q for q, _ in self.seen):
                 self.seen.append((point, float(objective(point))))
         return max(self.seen, key=lambda s: s[1])
 
     def halved(self, objective: Callable[[dict[str, float]], float], base: dict[str, float], steps: int) -> tuple[dict[str, float], float]:
-        """Search halves of the parameters, each from the best so far, then all of them together; observations are shared."""
-        names = list(self.bounds)
-        halves = [names[: len(names) // 2], names[len(names) // 2 :], names] if len(names) > 1 else [names]
+        """Searches each half of the parameters, halved again down to single ones, then all of them together, each from the best so far; observations go up."""
+        self.seen.append((base, float(objective(base))))
+        self._part(list(self.bounds), objective, steps)
+        return max(self.seen, key=lambda s: s[1])
+
+    def _part(self, names: list[str], objective: Callable[[dict[str, float]], float], steps: int) -> None:
+        for half in (names[: len(names) // 2], names[len(names) // 2 :]) if len(names) > 1 else ():
+            self._part(half, objective, steps)
+        fixed = max(self.seen, key=lambda s: s[1])[0]
+        sub = Search({k: self.bounds[k] for k in names}, self.whole, self.seed, [({k: p[k] for k in names}, v) for p, v in self.seen])
+        known = len(sub.seen)
+        sub.run(lambda p: objective(fixed | p), steps)
+        self.seen += [(fixed | p, v) for p, v in sub.seen[known:]]
+
+    def until_settled(self, objective: Callable[[dict[str, float]], float], base: dict[str, float], steps: int, size: int = 2) -> tuple[dict[str, float], float]:
+        """Shuffles the parameters and searches groups of `size` in turn, until a whole pass improves nothing."""
         best = (base, float(objective(base)))
         self.seen.append(best)
-        for half in halves:
-            sub = Search({k: self.bounds[k] for k in half}, self.whole, self.seed, [(dict((k, p[k]) for k in half), v) for p, v in self.seen])
-            fixed, known = best[0], len(sub.seen)
-            sub.run(lambda p, fixed=fixed: objective(fixed | p), steps)
-            self.seen += [(fixed | p, v) for p, v in sub.seen[known:]]
-            best = max(self.seen, key=lambda s: s[1])
-        return best
+        rng = np.random.default_rng(self.seed)
+        while True:
+            names = [str(n) for n in rng.permutation(list(self.bounds))]
+            for at in range(0, len(names), size):
+                self._part(names[at : at + size], objective, steps)
+            found = max(self.seen, key=lambda s: s[1])
+            if found[1] <= best[1]:
+                return best
+            best = found
 
 
 def selected(kind: str, samples: DataFrame, **arguments: Any) -> list[int]:

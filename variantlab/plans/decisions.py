@@ -30,6 +30,40 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ERRORS = f"select *, sqrt(abs(prediction - target)) * exp(sum(ln(log2(depth + 1))) over (partition by sample, tree order by depth)) as e from ({_PATHS})"
 
 
+_SIDES = "s as (select vec_id, embedding[1] <= 0 as a, embedding[2] <= 0 as b from embeddings)"
+
+
+def _two_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple]]:
+    """Samples and a tree that splits by their first feature, then on the right by the second; covers are the rows' counts."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    a, b = (F.get("features", i) <= 0 for i in (0, 1))
+    n, left, low = (float(c) for c in rows.agg(F.count("*"), F.count_if(a), F.count_if(~a & b)).first())
+    right, p = n - left, lambda x, y: x / y if y else 0.0
+    inner = p(low * 2 + (right - low) * 4, right)
+    return rows, [
+        (0, 0, 1, 2, 0, 0.0, p(left + right * inner, n), 1, n), (0, 1, -1, -1, -1, 0.0, 1.0, 2, left), (0, 2, 3, 4, 1, 0.0, inner, 2, right),
+        (0, 3, -1, -1, -1, 0.0, 2.0, 3, low), (0, 4, -1, -1, -1, 0.0, 4.0, 3, right - low),
+    ]
+
+
+@query(f"""with {_SIDES}, c as (select count(*) filter (a) / count(*) as p, count(*) filter (not a and b) / count(*) filter (not a) as q from s),
+  v as (select vec_id, p + (1 - p) * (4 - 2 * q) as v0, case when a then 1 else 4 - 2 * q end as va, p + (1 - p) * case when b then 2 else 4 end as vb, case when a then 1 when b then 2 else 4 end as vab from s, c)
+  select vec_id, 0 as feature, round((va - v0 + vab - vb) / 2, 6) as value from v union all select vec_id, 1, round((vb - v0 + vab - va) / 2, 6) from v""")
+def shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15, for a tree of two splits."""
+    rows, nodes = _two_splits(spark, sf_dir)
+    return r6(explain.shapley(rows, nodes, ["vec_id"]), "value")
+
+
+@query(f"""with {_SIDES}, c as (select count(*) filter (a) / count(*) as p, count(*) filter (not a and b) / count(*) filter (not a) as q from s),
+  v as (select vec_id, a, case when a then 1 else 4 - 2 * q end - (p + (1 - p) * (4 - 2 * q)) as f0, case when b then 2 else 4 end - (4 - 2 * q) as f1 from s, c)
+  select vec_id, 0 as feature, round(f0, 6) as value from v union all select vec_id, 1, round(f1, 6) from v where not a""")
+def path_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15 along paths, for a tree of two splits."""
+    rows, nodes = _two_splits(spark, sf_dir)
+    return r6(explain.attributions(rows, nodes, ["vec_id"]), "value")
+
+
 @query(f"""with c as (select feature, round(round(sum(e) / count(*) ** 0.9, 5), 3) as confusion, count(*) as n from ({_ERRORS}) group by feature)
   select i::int as feature, coalesce(confusion, 0.9)::double as confusion, coalesce(n, 0) as n from range(45) r(i) left join c on c.feature = i""")
 def confusion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

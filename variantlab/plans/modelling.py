@@ -43,7 +43,7 @@ def attribution_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model.vectors(samples(spark, sf_dir))
     fitted = model.forest(rows.where("fold <> 0"), "label", 8, 4)
     out = fitted.transform(rows)
-    shares = explain.attributions(out, explain.node_table(fitted), ["vec_id"], target="label")
+    shares = explain.shapley(out, explain.node_table(fitted), ["vec_id"], target="label")
     return explain.impacts(shares, out, ["vec_id"], "label", "prediction")
 
 
