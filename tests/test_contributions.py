@@ -65,6 +65,18 @@ def test_shapley_of_no_rows_a_missing_value_and_a_single_leaf(spark):
     assert explain.shapley(rows, [(0, 0, -1, -1, -1, 0.0, 2.5, 1, 4.0)], ["id"]).count() == 0
 
 
+def test_decisions_enclose_their_value(spark):
+    rows = model.vectors(spark.createDataFrame([(i, float(i % 8), [float(i % 8), float(i % 3)]) for i in range(120)], "id long, y double, features array<double>"))
+    fitted = model.forest(rows, "y", 5, 4)
+    scored = fitted.transform(rows).withColumnRenamed("prediction", "p")
+    paths = explain.decision_paths(scored, explain.node_table(fitted), ["id"], target="p")
+    found = explain.explained(paths, ["id"], "p").collect()
+    for r in found:
+        value = float(r.id % 8 if r.feature == 0 else r.id % 3)
+        assert (r.below is None or r.below <= value) and (r.above is None or value < r.above) and (r.below, r.above) != (None, None)
+    assert {r.feature for r in found} == {0, 1} and len({r.id for r in found}) == 120
+
+
 def test_sweeps_meet_all_points_of_a_grid_once():
     search = model.Search({"a": (0.0, 4.0), "b": (0.0, 4.0), "c": (0.0, 4.0)}, frozenset({"a"}))
     best = search.sweep(lambda p: -abs(p["a"] - 3) - abs(p["b"] - 1) - abs(p["c"] - 2), {"a": 0.0, "b": 0.0, "c": 2.0}, ["a", "b"], 5)

@@ -82,13 +82,13 @@ def _trees(nodes: list[tuple]) -> list[dict[str, np.ndarray]]:
 
 
 def decision_paths(samples: DataFrame, nodes: list[tuple], key: list[str], features: str = "features", target: str | None = None) -> DataFrame:
-    """One row per sample, tree and decision: node, feature, depth (1 at the root), the tree's prediction.
+    """One row per sample, tree and decision: node, feature, its value, the node's threshold, depth (1 at the root), the tree's prediction.
 
     All rows of a batch walk a tree together; the nodes are broadcast, their size is the model's.
     """
     shared = samples.sparkSession.sparkContext.broadcast(_trees(nodes))
     kept = [*key, *([target] if target else [])]
-    schema = samples.select(*kept).schema.add("tree", "integer").add("node", "integer").add("feature", "integer").add("depth", "integer").add("prediction", "double")
+    schema = samples.select(*kept).schema.add("tree", "integer").add("node", "integer").add("feature", "integer").add("depth", "integer").add("threshold", "double").add("value", "double").add("prediction", "double")
 
     def run(batches):
         import pandas as pd
@@ -106,7 +106,7 @@ def decision_paths(samples: DataFrame, nodes: list[tuple], key: list[str], featu
                     at[rows] = np.where(go, tree["left"][node], tree["right"][node])
                 rows, node = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
                 out = pdf[kept].iloc[rows].reset_index(drop=True)
-                yield out.assign(tree=np.int32(t), node=node.astype("int32"), feature=tree["feature"][node].astype("int32"), depth=tree["depth"][node].astype("int32"), prediction=tree["prediction"][at[rows]])
+                yield out.assign(tree=np.int32(t), node=node.astype("int32"), feature=tree["feature"][node].astype("int32"), depth=tree["depth"][node].astype("int32"), threshold=tree["threshold"][node], value=x[rows, tree["feature"][node]], prediction=tree["prediction"][at[rows]])
 
     return samples.select(*kept, features).mapInPandas(run, schema)
 
@@ -249,6 +249,20 @@ def first_decisions(paths: DataFrame, key: list[str], most: int = 50) -> DataFra
     return paths.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def explained(paths: DataFrame, key: list[str], ensemble: str) -> DataFrame:
+    """By sample and feature the weight of the trees that decide by it, and the nearest thresholds (`below`, `above`) around its value there.
+
+    A tree weighs the mean distance of the sample's trees from the ensemble's prediction less its own,
+    once for each feature however often it splits by it; trees without a decision count for nothing.
+    """
+    distance = F.abs(F.first(ensemble) - F.first("prediction"))
+    trees = paths.groupBy(*key, "tree").agg(distance.alias("_e"))
+    weights = trees.withColumn("weight", F.avg("_e").over(Window.partitionBy(*key)) - F.col("_e")).drop("_e")
+    under = F.col("threshold") <= F.col("value")
+    cuts = paths.groupBy(*key, "tree", "feature").agg(F.max(F.when(under, F.col("threshold"))).alias("below"), F.min(F.when(~under, F.col("threshold"))).alias("above"))
+    return cuts.join(weights, [*key, "tree"]).groupBy(*key, "feature").agg(F.sum("weight").alias("weight"), F.max("below").alias("below"), F.min("above").alias("above"))
+
+
 def feature_trees(nodes: DataFrame) -> DataFrame:
     """The trees that use each feature."""
     return nodes.where("left >= 0").groupBy("feature").agg(F.sort_array(F.collect_set("tree")).alias("trees"))

@@ -24,6 +24,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("sample"), tree.cast("int").alias("tree"), (F.col("l_partkey") % 40).cast("int").alias("feature"), depth.alias("depth"),
         (((F.col("l_orderkey") * 7 + tree * 13) % 100) / 10.0).alias("prediction"), ((F.col("l_orderkey") % 50) / 5.0).alias("target"),
+        F.col("l_discount").cast("double").alias("threshold"), F.col("l_tax").cast("double").alias("value"),
     )
 
 
@@ -91,6 +92,18 @@ def tree_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out.join(explain.sample_losses(rows, ["sample"], "target"), "sample"), "tree_sd", "loss")
 
 
+_CUTS = _PATHS.replace("as target", "as target, l_discount::double as threshold, l_tax::double as value")
+
+
+@query(f"""with p as ({_CUTS}), t as (select sample, tree, abs(any_value(target) - any_value(prediction)) as e from p group by 1, 2), w as (select sample, tree, avg(e) over (partition by sample) - e as w from t),
+  f as (select sample, tree, feature, max(threshold) filter (threshold <= value) as l, min(threshold) filter (threshold > value) as r from p group by 1, 2, 3)
+  select sample, feature, round(sum(w), 6) + 0.0 as weight, max(l) as below, min(r) as above from f join w using (sample, tree) group by 1, 2""")
+def explained_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M16."""
+    out = explain.explained(paths(spark, sf_dir), ["sample"], "target")
+    return out.withColumn("weight", F.round("weight", 6) + F.lit(0.0))
+
+
 @query(f"select feature, list_aggregate(list_sort(list(distinct tree))::varchar[], 'string_agg', ',') as trees from ({_PATHS}) group by feature")
 def feature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A32."""
