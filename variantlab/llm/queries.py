@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from variantlab.llm import bpe, neardup, packing, pages, pii, quality, substrings, toxicity, vectors, warc
+from variantlab.llm import bpe, chat, neardup, packing, pages, periodic, pii, quality, substrings, toxicity, trie, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vector_near_duplicates, op2_bpe, op3_main_text, op4_warc, op5_repeated_passages, op6_quality_rules, op7_packing, op8_personal_data, op9_toxicity, op10_near_duplicates)}
+    every = (
+        op1_vector_near_duplicates, op2_bpe, op3_main_text, op4_warc, op5_repeated_passages, op6_quality_rules, op7_packing, op8_personal_data, op9_toxicity,
+        op10_near_duplicates, op11_chat_format, op12_prefix_trie, op13_periodic_runs,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op6_quality_rules": quality.SQL}
+    return {"op4_warc": warc.SQL, "op6_quality_rules": quality.SQL, "op11_chat_format": chat.SQL, "op12_prefix_trie": trie.SQL}
