@@ -1,10 +1,11 @@
 """Chat formatting of reply trees: every path from a root to a leaf is a conversation, and each chosen one is formatted.
 
 Messages name the one that they reply to.  Self-joins that double their reach find for each message
-its ancestors 1, 2, 4, ... replies above, its root, its depth and the sum of scores on its path; the
-logarithm of the longest path is their number.  Branches, that is leaves, are ranked in their tree by
-the mean score of their path, and the chosen ones get their paths by the same tables: a leaf's
-ancestors are the sums of some powers of two above it, each in one way.  No row of these steps has a
+its ancestors 1, 2, 4, ... replies above with the scores up to there, as long as it has them; the
+logarithm of the longest path is their number.  By these tables each leaf, that is each branch, finds
+its root, its depth and the mean score of its path; branches are ranked in their tree by that, and the
+chosen ones get their paths: a leaf's ancestors are the sums of some powers of two above it, each in
+one way.  No row of these steps has a
 text.  Texts join the finished paths once, and a path is formatted in order, in parts of whole turns
 of about PART characters, so a path of any length is read with bounded memory; digests that go over a
 whole path need one task for it, and nothing else does.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variantlab.llm.common import written
+from variantlab.llm.common import removed, written
 from variantlab.tables import running
 
 #: Code points of a part, which has one turn at least.
@@ -92,27 +93,33 @@ def distinct_messages(messages: DataFrame) -> DataFrame:
 
 def paths(linked: DataFrame, branches: int | None = None) -> DataFrame:
     """path (its leaf), tree (its root), branch (from 1, by score), score, message_id and at (from 0) of the best `branches` of each tree, or of all."""
-    step = linked.select(F.col("message_id").alias("node"), F.col("parent_id").alias("up"), F.coalesce("parent_id", "message_id").alias("top"), F.lit(1).cast("long").alias("n"), F.col("score").alias("s"))
-    step = written(step, "replies")
+    step = written(linked.where("parent_id is not null").select(F.col("message_id").alias("node"), F.col("parent_id").alias("up"), F.col("score").alias("s")), "replies")
     most = math.ceil(math.log2(step.count() + 2)) + 1  # further up are only those who are their own ancestors
-    steps = []
-    while len(steps) < most and step.where("up is not null").limit(1).count():
+    steps: list[DataFrame] = []  # node, the ancestor 2**k above it, and the scores from node on to below that; only where there is one
+    while len(steps) < most and step.limit(1).count():
         steps.append(step)
-        above = step.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("n").alias("_n"), F.col("s").alias("_s"))
-        both = step.join(above, "up", "left")
-        total = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("n", "s")]
-        step = written(both.select("node", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), *total), "replies")
+        above = step.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("s").alias("_s"))
+        step = written(step.join(above, "up").select("node", F.col("_up").alias("up"), (F.col("s") + F.col("_s")).alias("s")), "replies")
     parents = linked.select(F.col("parent_id").alias("node")).distinct()
-    leaves = step.where("up is null").join(parents, "node", "left_anti").select("node", F.col("top").alias("tree"), "n", (F.col("s") / F.col("n")).alias("score"))
+    # a leaf's way up is a sum of powers of two, the largest first
+    tops = linked.select(F.col("message_id").alias("node")).join(parents, "node", "left_anti").select(F.col("node").alias("path"), "node", F.lit(0).cast("long").alias("d"), F.lit(0.0).alias("sum"))
+    for k in reversed(range(len(steps))):
+        to = F.coalesce("up", "node").alias("node")
+        tops = tops.join(steps[k], "node", "left").select("path", to, (F.col("d") + F.when(F.col("up").isNull(), 0).otherwise(1 << k)).alias("d"), (F.col("sum") + F.coalesce("s", F.lit(0.0))).alias("sum"))
+    roots = linked.where("parent_id is null").select(F.col("message_id").alias("node"), "score")
+    leaves = tops.join(roots, "node").select(F.col("node").alias("tree"), F.col("path").alias("node"), (F.col("d") + 1).alias("n"), ((F.col("sum") + F.col("score")) / (F.col("d") + 1)).alias("score"))
     ranked = running(leaves.withColumn("_worse", -F.col("score")), ["tree", "_worse", "node"], {"_place": F.lit(1)})
     ranked = ranked.join(ranked.groupBy("tree").agg(F.min("_place").alias("_first")), "tree")
     chosen = ranked.select(F.col("node").alias("path"), "tree", (F.col("_place") - F.col("_first") + 1).alias("branch"), "score", "node", "n", F.lit(0).cast("long").alias("d"))
     out = chosen.where(F.col("branch") <= branches) if branches is not None else chosen
     for k in reversed(range(len(steps))):
-        jump = steps[k].where("up is not null").select("node", "up")
+        jump = steps[k].select("node", "up")
         both = F.array(F.struct("node", "d"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("d") + (1 << k)).alias("d"))))
         out = out.join(jump, "node", "left").select("path", "tree", "branch", "score", "n", F.inline(F.filter(both, lambda x: x.isNotNull())))
-    return out.select("path", "tree", "branch", "score", F.col("node").alias("message_id"), (F.col("n") - 1 - F.col("d")).alias("at"))
+    out = written(out.select("path", "tree", "branch", "score", F.col("node").alias("message_id"), (F.col("n") - 1 - F.col("d")).alias("at")), "branches")
+    for table in (*steps, step):
+        removed(table)
+    return out
 
 
 def _parts(batches: Iterator[pa.RecordBatch], part_chars: int) -> Iterator[pa.RecordBatch]:
@@ -207,7 +214,7 @@ def read_back(parts: DataFrame) -> DataFrame:
 def conversations_of(messages: DataFrame, branches: int | None = None, part_chars: int = PART) -> DataFrame:
     """Formatted conversations of reply trees (message_id long, parent_id, role, text, score): path, part, formatted, loss, and tree, branch and score of the path."""
     own = written(distinct_messages(messages), "messages")
-    chosen = written(paths(links(own), branches), "branches")
+    chosen = paths(links(own), branches)
     about = chosen.where("at = 0").select("path", "tree", "branch", "score")
     return formatted(own, chosen, part_chars).join(about, "path")
 
@@ -234,7 +241,7 @@ def report(conversations: DataFrame) -> DataFrame:
     """One row per conversation, and for conversation -1, read back from what was formatted."""
     added = conversations.sparkSession.createDataFrame([(-1, 0, "user", _ADDED), (-1, 1, TRAINED, _ADDED)], "conv_id long, turn long, role string, text string")
     messages, linked = chained(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").union(added))
-    chosen = written(paths(linked), "branches")
+    chosen = paths(linked)
     named = chosen.where("at = 0").select("path", "message_id").join(messages.select("message_id", "conv_id"), "message_id").select("path", "conv_id")
     return read_back(formatted(messages, chosen)).join(named, "path").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
