@@ -48,6 +48,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _DROPPED = frozenset("head nav footer aside form button select option datalist template svg canvas object dialog menu audio video".split()) | _RAW
+#: Of those and the headers, what may be a wrapper of the whole page.
+_WRAPS = frozenset("form header".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -61,7 +63,12 @@ _WORDS = frozenset(
     " subscribe subscription share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comments comment disqus replies respond"
     " related recommended recommendations popup modal overlay widget masthead topbar toolbar pagination pager login signup search skip".split()
 )
+#: Words that only say where or what kind of box an element is: with them a name is still that of its other words.
+_NEUTRAL = frozenset("site main page global top bottom left right upper lower primary secondary box bar block section container wrapper inner outer list area item items links link button buttons form".split())
+#: Words that inside an article name a part of it.
+_OWN = frozenset("alert notice notices banner search skip".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+_PROSE = frozenset("p blockquote pre".split())
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr".split())
 
 
@@ -69,10 +76,14 @@ _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr".spli
 class Element:
     name: str
     parent: int
-    dropped: bool
-    root: bool
     start: int  # first text chunk
     end: int = 0
+    hidden: bool = False
+    main: bool = False
+    roles: bool = False  # a role attribute says that it is no article
+    names: frozenset[str] = frozenset()  # listed words of whole class and id names, "header" among them
+    dropped: bool = False
+    root: bool = False
 
 
 @dataclass
@@ -82,19 +93,51 @@ class Page:
     owner: list[int] = field(default_factory=list)
 
 
-def _marks(rest: str) -> tuple[bool, bool, bool]:
-    """Whether attributes say: no article, main part, header."""
-    drop = main = header = False
+def _named(name: str) -> set[str]:
+    """The listed words of a class or id, if it says no more than them and where the element stands: `site-footer`, not `has-footer`."""
+    words = set(re.split(r"[-_]+", name)) - _NEUTRAL
+    return words if words and words <= _WORDS | {"header"} else set()
+
+
+def _marks(rest: str) -> dict[str, object]:
+    """What attributes say of an element."""
+    out: dict[str, object] = {}
+    names: set[str] = set()
     for name, a, b, c, hidden in _ATTRIBUTE.findall(rest):
         value, name = (a or b or c).lower(), name.lower()
         if hidden:
-            drop = True
+            out["hidden"] = True
         elif name == "role":
-            drop, main = drop | (value in _ROLES), main | (value == "main")
+            out["roles"], out["main"] = value in _ROLES, value == "main"
         else:
-            words = set(re.split(r"[^a-z0-9]+", value))
-            drop, header = drop | bool(words & _WORDS), header | ("header" in words)
-    return drop, main, header
+            for word in value.split():
+                names |= _named(word)
+    return out | {"names": frozenset(names)} if names else out
+
+
+def _judged(page: Page) -> None:
+    """Sets `dropped` and `root`.  What holds an article or main part, or over half of the page's text, is not dropped for a name, role, form or header."""
+    elements = page.elements
+    n = len(elements)
+    article = [e.name in ("article", "main") or e.main for e in elements]
+    within = [False] * n  # another article: those are comments, or related ones
+    for i, e in enumerate(elements):
+        within[i] = e.parent >= 0 and (within[e.parent] or article[e.parent])
+    holds = [False] * n
+    for i in range(n - 1, -1, -1):
+        if elements[i].parent >= 0:
+            holds[elements[i].parent] |= holds[i] or (article[i] and not within[i])
+    size = [0]
+    for chunk in page.chunks:
+        size.append(size[-1] + len(chunk.strip()) if chunk else size[-1])
+    for i, e in enumerate(elements):
+        above = elements[e.parent] if e.parent >= 0 else None
+        inside = above is not None and above.root
+        itself = (article[i] and not within[i]) or e.name in ("html", "body")
+        furniture = e.name in _WRAPS and not (e.name == "header" and inside) or e.roles or bool(e.names - (_OWN | {"header"} if inside else set()))
+        furniture = furniture and not itself and not holds[i] and 2 * (size[e.end] - size[e.start]) <= size[-1]
+        e.dropped = (above is not None and above.dropped) or (e.name in _DROPPED and e.name not in _WRAPS) or (e.hidden and e.name not in ("html", "body")) or furniture
+        e.root = not e.dropped and (inside or article[i])
 
 
 def parse(source: str) -> Page:
@@ -157,13 +200,8 @@ def parse(source: str) -> Page:
             owner.append(-1)
         if name in _VOID:
             continue
-        drop, main, header = _marks(m["rest"] or m["rest2"] or "") if (m["rest"] or m["rest2"] or "").strip() else (False, False, False)
-        parent = open_[-1] if open_ else -1
-        above = elements[parent] if parent >= 0 else None
-        inside = above is not None and above.root
-        drop = drop and name not in ("html", "body")
-        dropped = (above is not None and above.dropped) or name in _DROPPED or drop or ((name == "header" or header) and not inside)
-        elements.append(Element(name, parent, dropped, not dropped and (inside or name in ("article", "main") or main), len(chunks)))
+        rest = (m["rest"] or m["rest2"] or "").strip()
+        elements.append(Element(name, open_[-1] if open_ else -1, len(chunks), **(_marks(rest) if rest else {})))
         if name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
             elements[-1].end = len(chunks)
@@ -175,6 +213,7 @@ def parse(source: str) -> Page:
         among[name] += 1
     text(mark, len(source))
     shut(0)
+    _judged(page)
     return page
 
 
@@ -206,7 +245,7 @@ def subtrees(page: Page, counting: bool = False) -> dict[int, int]:
 
 
 def cleaned(page: Page, templates: set[int]) -> tuple[str, int]:
-    """The text of articles (or main parts, or where there are none the whole body), one paragraph for each block, and the number of templates deleted."""
+    """The text of articles (or main parts, or where there are none, or paragraphs outside them hold more, the whole body), one paragraph for each block, and the number of templates deleted."""
     known = {i for i, h in subtrees(page).items() if h in templates} if templates else set()
     gone, deleted = [], 0
     for i, e in enumerate(page.elements):
@@ -215,7 +254,18 @@ def cleaned(page: Page, templates: set[int]) -> tuple[str, int]:
         gone.append(above or i in known)
     for i, e in enumerate(page.elements):  # what didn't recur, by its markup
         gone[i] |= e.dropped or (e.parent >= 0 and gone[e.parent])
+    # articles are taken unless paragraphs outside them hold more, or where the page says which part is the main one
     rooted = any(e.root and not gone[i] for i, e in enumerate(page.elements))
+    if rooted and not any((e.name == "main" or e.main) and not gone[i] for i, e in enumerate(page.elements)):
+        inside = outside = 0
+        prose: list[bool] = []
+        for e in page.elements:
+            prose.append(e.name in _PROSE or (e.parent >= 0 and prose[e.parent]))
+        for chunk, o in zip(page.chunks, page.owner):
+            if chunk and o >= 0 and not gone[o]:
+                inside += len(chunk.strip()) if page.elements[o].root else 0
+                outside += len(chunk.strip()) if prose[o] and not page.elements[o].root else 0
+        rooted = inside >= outside
     blocks, held = [], []
     for chunk, o in zip([*page.chunks, None], [*page.owner, -1]):
         if chunk is None:

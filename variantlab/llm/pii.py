@@ -60,12 +60,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def valid(kind: str, text: str) -> bool:
     """Whether a match of a base pattern stands."""
     if kind == "email":
         return True
     if kind == "ip":
-        return all(int(p[-9:]) <= 255 and (len(p) < 10 or int(p) <= 255) for p in text.split("."))
+        return all(map(octet, text.split(".")))
     n = len(digits := digits_of(text))
     return 9 <= n <= 15 if kind == "phone" else 13 <= n <= 19 and luhn(digits)
 
@@ -75,7 +81,7 @@ def well_formed(kind: str, text: str) -> bool:
     if kind == "email":
         return _EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", text))) is not None
     if kind == "ip":
-        return _PARTS.fullmatch(text) is not None and all(int(p[-9:]) <= 255 for p in re.findall("[0-9]+", text))
+        return _PARTS.fullmatch(text) is not None and all(map(octet, re.findall("[0-9]+", text)))
     return valid(kind, text)
 
 
@@ -474,7 +480,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fitted(docs: DataFrame, most: int = SAMPLE, windows: int = WINDOWS) -> Tagger:
-    """A network from at most `windows` windows of at most `most` documents, those first in the order of their hashes.
+    """A network from at most `windows` windows of at most `most` documents, those first in the order of hashes of their places.
 
     Tasks cut the texts; the driver gets windows alone, so no long or repeated text can fill it.
     """
@@ -485,10 +491,12 @@ def fitted(docs: DataFrame, most: int = SAMPLE, windows: int = WINDOWS) -> Tagge
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 x, y = (v.astype(np.uint8) for v in examples([text]))
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, y)], ["x", "y"])
+                place = np.arange(len(x)) << 32 | zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, y))], ["place", "x", "y"])
 
-    rows = some.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "x binary, y binary")
-    table = rows.orderBy(F.xxhash64(F.lit(17), "x", "y"), "x", "y").limit(windows).toArrow()
+    rows = some.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "place long, x binary, y binary")
+    # by place, so that copies of one window don't come together
+    table = rows.orderBy(F.xxhash64(F.lit(17), "place"), "x", "y").limit(windows).toArrow()
     x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(-1, WINDOW).astype(np.int64) for c in "xy")
     return train(x, y)
 

@@ -163,7 +163,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], sentences: int, words: int,
             pa.array(np.concatenate([h[stays].view(np.int64), d])),
             pa.concat_arrays([pa.array(h2[stays].view(np.int32)), pa.nulls(len(d), pa.int32())]),
             pa.array(np.concatenate([doc[stays], d])),
-            pa.array(np.concatenate([at[stays] << 20 | n[stays], a << 20 | k])),
+            pa.array(np.concatenate([at[stays] << 32 | n[stays], a << 32 | k])),
         ]
         return pa.RecordBatch.from_arrays(columns, ["h", "h2", "doc_id", "at"])
 
@@ -182,7 +182,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], sentences: int, words: int,
 
 
 def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = WINDOW) -> DataFrame:
-    """doc_id and `spans` (array of long: first sentence << 20 | number of sentences) of documents with non-first repeated runs."""
+    """doc_id and `spans` (array of long: first sentence << 32 | number of sentences, of which a text has fewer than 2**31) of documents with non-first repeated runs."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     occurrences = rows.mapInArrow(lambda x: _occurrences(x, sentences, words, window), "h long, h2 int, doc_id long, at long")
     low = F.first("doc_id").over(Window.partitionBy("h", "h2").orderBy("doc_id"))
@@ -197,9 +197,9 @@ def cut(text: str, spans: list[int], window: int = WINDOW) -> tuple[str, int]:
     n = len(found.word) - 1
     steps = np.zeros(n + 1, np.int64)
     for span in spans:
-        if span >> 20 < n:
-            steps[span >> 20] += 1
-            steps[min(n, (span >> 20) + (span & 0xFFFFF))] -= 1
+        if span >> 32 < n:
+            steps[span >> 32] += 1
+            steps[min(n, (span >> 32) + (span & 0xFFFFFFFF))] -= 1
     gone = np.cumsum(steps[:n]) > 0
     if not gone.any():
         return text, 0
