@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variantlab.operators import clean, encode, explain, stats
+from variantlab.operators import clean, encode, explain
 
 
 def vectors(samples: DataFrame, features: str = "features", name: str = "vector") -> DataFrame:
@@ -38,57 +38,6 @@ def boosted(samples: DataFrame, target: str, rounds: int = 20, depth: int = 4, r
     return (model.setWeightCol(weight) if weight else model).fit(samples)
 
 
-def rounds_by_objective(model: Any, rows: DataFrame, group: str, target: str, every: int = 5, vector: str = "vector") -> int:
-    """How many boosting rounds give the best 1 - mean group Spearman; prefixes are scored in one scan."""
-    nodes, weights = explain.node_table(model), list(model.treeWeights)
-    trees = explain._trees(nodes)
-    steps = sorted({*range(every, len(trees) + 1, every), len(trees)})
-    shared = rows.sparkSession.sparkContext.broadcast((trees, weights, steps))
-
-    def run(batches):
-        import pandas as pd
-
-        own, w, marks = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, total = np.stack(pdf["_x"].to_numpy()), np.zeros(len(pdf))
-            for t, tree in enumerate(own):
-                at, live = np.zeros(len(x), int), np.arange(len(x))
-                while len(live := live[tree["left"][at[live]] >= 0]):
-                    node = at[live]
-                    at[live] = np.where(x[live, tree["feature"][node]] <= tree["threshold"][node], tree["left"][node], tree["right"][node])
-                total = total + w[t] * tree["prediction"][at]
-                if t + 1 in marks:
-                    yield pd.DataFrame({"g": pdf["_g"], "y": pdf["_y"], "p": total, "n_rounds": np.int32(t + 1)})
-
-    from pyspark.ml.functions import vector_to_array
-
-    kind = dict(rows.dtypes)[group]
-    flat = rows.select(F.col(group).alias("_g"), F.col(target).cast("double").alias("_y"), vector_to_array(vector).alias("_x"))
-    scored = flat.mapInPandas(run, f"g {kind}, y double, p double, n_rounds int")
-    groups = stats.group_spearman(scored, ["n_rounds", "g"], "y", "p")
-    best = groups.groupBy("n_rounds").agg((1 - F.coalesce(F.avg("r"), F.lit(0.0))).alias("o")).orderBy("o", "n_rounds").first()
-    return best.n_rounds
-
-
-def two_rounds(train: DataFrame, test: DataFrame, key: list[str], group: str, target: str, width: int, threshold: float = 0.0, rounds: int = 20, features: str = "features") -> tuple[Any, list[int], int]:
-    """Boost, drop the features whose impact on held-out rows reaches the threshold, choose the rounds by the group objective, boost again.
-
-    Returns the model, the features kept, and the rounds.
-    """
-    first = boosted(vectors(train, features), target, rounds)
-    nodes = explain.node_table(first)
-    held = first.transform(vectors(test, features))
-    shares = explain.shapley(held.select(*key, target, F.transform(features, lambda x: x.cast("double")).alias("features")), nodes, key, target=target, weights=explain.tree_weights(first))
-    hurt = {r.feature for r in explain.impacts(shares, held, key, target, "prediction").where((F.col("impact") >= threshold) & (F.col("impact") > 0)).collect()}
-    kept = [i for i in range(width) if i not in hurt] or list(range(width))
-    narrow = F.array(*[F.get(features, i) for i in kept])
-    a, b = (vectors(x.withColumn("_kept", narrow), "_kept") for x in (train, test))
-    best = rounds_by_objective(boosted(a, target, rounds), b, group, target)
-    return boosted(a, target, best), kept, best
-
-
 def confusion_selection(samples: DataFrame, key: list[str], fold: str, folds: int, target: str, width: int, drop: int, trees: int = 10, depth: int = 4, features: str = "features", **exponents: float) -> DataFrame:
     """Per fold a forest and its features' confusion on held-out rows; the worst over folds, ranked; `kept` is false for the `drop` highest."""
     parts = None

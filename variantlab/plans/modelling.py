@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantlab.operators import explain, model, select, stats
+from variantlab.operators import boosting, explain, model, select, stats
 from variantlab.plans.common import query, table
 from variantlab.plans.statistics import r6
 
@@ -25,12 +25,54 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.transform(rows).select("vec_id", "label", (F.col("fold") == 0).alias("held_out"), "prediction")
 
 
+BOOSTING = boosting.Settings(rounds=5, depth=3, bins=16, patience=3)
+
+ROOT_SPLITS = """
+with v as (select vec_id, vec_id % 3 as fold, label::double as y, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as feature from embeddings),
+o as (select feature, x, row_number() over (partition by feature order by x) as r, count(*) over (partition by feature) as n from v),
+e as (select distinct feature, min(x) as e from o, (select unnest(generate_series(1, 15)) as k) where r >= ceil(k * n / 16.0) group by feature, k),
+m as (select run, avg(label::double) as base from embeddings, (select unnest([0, 1, 2]) as run) where vec_id % 3 <> run group by run),
+b as (select v.vec_id, v.fold, v.y, v.feature, count(e.e) as bin from v left join e on e.feature = v.feature and e.e < v.x group by all),
+c as (select run, feature, bin, sum(base - y) as g, count(*) as n from b join m on b.fold <> m.run group by run, feature, bin),
+s as (select *, sum(g) over l as gl, sum(n) over l as nl, sum(g) over a as ga, sum(n) over a as na from c
+  window l as (partition by run, feature order by bin rows unbounded preceding), a as (partition by run, feature)),
+k as (select *, gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1) - ga * ga / (na + 1) as gain from s where na > nl),
+f as (select feature, e, row_number() over (partition by feature order by e) - 1 as bin from e)
+select run, k.feature, e as threshold, round(gain, 6) as gain, nl::bigint as n_left, (na - nl)::bigint as n_right
+from k join f on f.feature = k.feature and f.bin = k.bin
+qualify row_number() over (partition by run, k.feature order by round(gain, 9) desc, k.bin) = 1
+"""
+
+
+@query(ROOT_SPLITS)
+def boosted_root_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best first split of every feature, of three folds at once, from their histograms."""
+    rows = samples(spark, sf_dir)
+    bins = boosting.bins_of(rows, WIDTH, BOOSTING.bins)
+    runs = [boosting.Run(k) for k in range(3)]
+    for k, r in enumerate(runs):
+        r.base = rows.where(F.col("fold") != k).agg(F.avg("label")).first()[0] or 0.0
+    state = boosting.first_level(runs, BOOSTING, WIDTH)
+    found = boosting.splits(boosting.cells(boosting.binned(rows, bins, ["vec_id"], "label", "grp", "fold"), state), BOOSTING)
+    edges = spark.createDataFrame([(f, i, float(e)) for f, own in enumerate(bins.edges) for i, e in enumerate(own)], "feature int, bin int, threshold double")
+    best = boosting.best_splits(found, "run", "feature").join(edges, ["feature", "bin"])
+    return best.select("run", "feature", "threshold", F.round("gain", 6).alias("gain"), "n_left", "n_right")
+
+
+@query()
+def boosted_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three folds trained side by side, each stopped by its own objective; every sample predicted by the run that didn't see it."""
+    rows = samples(spark, sf_dir)
+    found = boosting.cross_validated(rows, ["vec_id"], "label", "grp", "fold", 3, WIDTH, BOOSTING, final=False)
+    return boosting.out_of_fold(rows, found, "fold").select("vec_id", "fold", "label", "prediction")
+
+
 @query()
 def boosted_two_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
-    fitted, kept, _ = model.two_rounds(rows.where("fold <> 0"), rows.where("fold = 0"), ["vec_id"], "grp", "label", WIDTH, rounds=6)
+    fitted, kept = boosting.two_rounds(rows, ["vec_id"], "label", "grp", "fold", 0, WIDTH, BOOSTING, BOOSTING)
     narrow = rows.withColumn("_kept", F.array(*[F.get("features", i) for i in kept]))
-    return fitted.transform(model.vectors(narrow, "_kept")).select("vec_id", "label", "prediction")
+    return fitted.predicted(narrow, "_kept").select("vec_id", "label", "prediction")
 
 
 @query()
