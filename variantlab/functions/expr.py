@@ -188,10 +188,32 @@ def residue_change(wt: Column, mut: Column) -> dict[str, Column]:
     return out
 
 
+def _settled(value: Column, places: Column) -> Column:
+    """`value`, or where it looks like a tie at `places` decimals (0 to 22) the neighbour that its exact value rounds to, ties to even.
+
+    Formatting rounds the shortest decimal text; the exact value may lie on the other side of a tie.
+    The product with a power of ten is exact as a sum of two doubles.
+    """
+    power = F.get(F.array(*[F.lit(10.0**k) for k in range(23)]), places)
+    half = lambda x: (x * F.lit(134217729.0)) - ((x * F.lit(134217729.0)) - x)
+    size = F.abs(value)
+    a, b = half(size), half(power)
+    high = size * power
+    low = ((a * b - high) + a * (power - b) + (size - a) * b) + (size - a) * (power - b)
+    whole = F.floor(high).cast("double")
+    side = (high - (whole + 0.5)) + low
+    near = F.abs(high - (whole + 0.5)) < 1e-9 * F.greatest(high, F.lit(1.0))
+    up = (side > 0) | ((side == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    return F.when(near, F.signum(value) * (whole + F.when(up, 1.0).otherwise(0.0)) / power).otherwise(value)
+
+
 def shown(value: Column) -> Column:
-    """A number with more digits the smaller it is."""
+    """A number with more digits the smaller it is, rounded from its exact value (below 1e-20 from its shortest decimal text)."""
     size = F.abs(value)
-    return F.when(value.isNull(), "None").when(size >= 100, F.format_string("%.0f", F.rint(value))).when(size >= 1, F.format_string("%.2f", value)).when(size >= 0.001, F.format_string("%.4f", value)).otherwise(F.format_string("%.2e", value))
+    small = (F.lit(2) - F.floor(F.log10(size))).cast("int")
+    tiny = F.format_string("%.2e", F.when(small.between(0, 22), _settled(value, small)).otherwise(value))
+    fixed = lambda k: F.format_string(f"%.{k}f", _settled(value, F.lit(k)))
+    return F.when(value.isNull(), "None").when(size >= 100, F.format_string("%.0f", F.rint(value))).when(size >= 1, fixed(2)).when(size >= 0.001, fixed(4)).otherwise(tiny)
 
 
 # Names of feature categories and sub-categories, categories of whole names, and rules by a

@@ -172,13 +172,13 @@ def standard_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _proteins(spark, sf_dir).select("id", rare.alias("rare"), expr.standard_residues(rare).alias("seq"))
 
 
-@query(f"""with c as (select id, unnest(string_split(substr(aligned, 1, 40) || lower(substr(aligned, 1, 5)) || '?', '')) as residue from ({_PROTEINS}))
+@query(f"""with c as (select id, unnest(string_split(aligned || lower(aligned) || '?', '')) as residue from ({_PROTEINS}))
   select id, residue, count(*) as n, max(case when length(residue) = 1 then strpos('{expr.RESIDUES}', upper(residue)) - 1 else -1 end)::int as code from c where residue <> '' group by 1, 2""")
 def residue_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P29."""
     from variantlab.operators import alignment
 
-    text = F.concat(F.substring("aligned", 1, 40), F.lower(F.substring("aligned", 1, 5)), F.lit("?"))
+    text = F.concat("aligned", F.lower("aligned"), F.lit("?"))
     cells = _proteins(spark, sf_dir).select("id", F.explode(F.split(text, "")).alias("residue")).where("residue <> ''")
     return alignment.residue_codes(cells, "residue", "code").groupBy("id", "residue").agg(F.count("*").alias("n"), F.max("code").alias("code"))
 
