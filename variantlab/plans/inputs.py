@@ -191,6 +191,31 @@ def seed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.seed_first(_proteins(spark, sf_dir).select("prot_id", "row_nr", "aligned"), F.col("row_nr") == 3)
 
 
+_PAIRS = f"""select b.prot_id, b.row_nr, b.id, list_filter(list_zip(string_split(a.aligned, ''), string_split(b.aligned, '')), lambda x: x[1] <> '-' or x[2] <> '-') as z
+  from ({_PROTEINS}) b join ({_PROTEINS}) a on a.prot_id = b.prot_id and a.row_nr = 0 and b.row_nr > 0"""
+
+
+@query(f"""with p as ({_PAIRS}), c as (select prot_id, row_nr, i, z[i][1] as q, z[i][2] as t from (select *, unnest(generate_series(1, len(z))) as i from p)),
+  k as (select *, count(*) filter (q <> '-') over (partition by prot_id, row_nr order by i rows between unbounded preceding and current row) - (q <> '-')::int as place from c),
+  m as (select prot_id, place, max(n) as n from (select prot_id, row_nr, place, count(*) as n from k where q = '-' group by all) group by all),
+  r as (select prot_id, row_nr, place, coalesce(string_agg(t, '' order by i) filter (q = '-'), '') as ins, coalesce(max(t) filter (q <> '-'), '') as own from k group by all),
+  e as (select prot_id, s, unnest(generate_series(0, length(s))) as place from ({_PROTEINS}) where row_nr = 0),
+  g as (select e.prot_id, d.row_nr, e.place, rpad(coalesce(r.ins, ''), coalesce(m.n, 0)::int, '-') || coalesce(r.own, '') as part from e join (select distinct prot_id, row_nr from c) d on d.prot_id = e.prot_id
+    left join m on m.prot_id = e.prot_id and m.place = e.place left join r on r.prot_id = e.prot_id and r.row_nr = d.row_nr and r.place = e.place),
+  s as (select e.prot_id, 0 as row_nr, e.place, repeat('-', coalesce(m.n, 0)::int) || substr(s, e.place::int + 1, 1) as part from e left join m on m.prot_id = e.prot_id and m.place = e.place)
+  select prot_id, row_nr::int as row_nr, string_agg(part, '' order by place) as aligned from (select * from g union all select * from s) group by all""")
+def assembled_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments put together from every row's pairwise alignment with the first one."""
+    from variantlab.operators import alignment
+
+    rows = _proteins(spark, sf_dir)
+    seeds = rows.where("row_nr = 0").select("prot_id", F.col("s").alias("seq"), F.split("aligned", "").alias("_seed"))
+    both = F.filter(F.arrays_zip(F.col("_seed").alias("q"), F.split("aligned", "").alias("t")), lambda x: (x["q"] != "-") | (x["t"] != "-"))
+    pairs = rows.where("row_nr > 0").join(seeds.select("prot_id", "_seed"), "prot_id").withColumn("z", both)
+    pairs = pairs.select("prot_id", "row_nr", F.col("id").alias("hit_id"), F.array_join(F.col("z")["q"], "").alias("q_aln"), F.array_join(F.col("z")["t"], "").alias("t_aln"))
+    return alignment.assembled(seeds.select("prot_id", "seq"), pairs, rank="row_nr").select("prot_id", "row_nr", "aligned")
+
+
 _SELF = " + ".join(f"{row[i]} * (length(s) - length(replace(s, '{c}', '')))" for i, (c, row) in enumerate(zip(expr.RESIDUES, expr.blosum())))
 
 
