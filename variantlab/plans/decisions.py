@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from variantlab.operators import encode, explain, model, search, select, splits
+from variantlab.operators import encode, explain, model, partition, search, select, splits
 from variantlab.plans.common import query, table
 from variantlab.plans.features import _ALIGNED, aligned
 from variantlab.plans.statistics import LONG, long_features, r6
+from variantlab.tables import written
 
 _ORDER = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
 _PATHS = f"""select l_orderkey as sample, (l_suppkey % 3)::int as tree, (l_partkey % 40)::int as feature, (row_number() over (partition by l_orderkey, l_suppkey % 3 order by {_ORDER}))::int as depth,
@@ -218,3 +219,31 @@ def similarity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters over any number of links, which folds keep together."""
     rows = aligned(spark, sf_dir).select((F.col("prot_id") * 1000 + F.col("row_nr")).alias("id"), F.replace("aligned", F.lit("-"), F.lit("")).alias("s"))
     return search.similarity_folds(rows, "id", "s", 3, least=6).select("id", "cluster")
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sequences as nodes, and links by the number of words that two share."""
+    rows = aligned(spark, sf_dir).select((F.col("prot_id") * 1000 + F.col("row_nr")).alias("id"), F.replace("aligned", F.lit("-"), F.lit("")).alias("s"))
+    links = search.shared_words(rows, rows, "id", "s", 5, 2, 1 << 30).select(F.col("query").alias("u"), F.col("target").alias("v"), (F.col("n_shared") / 2).alias("weight"))
+    return rows.select("id", F.lit(1.0).alias("size")), written(links, "links")
+
+
+@query()
+def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of sequences that share few words across them, each within a tenth of an equal share."""
+    nodes, links = _similar(spark, sf_dir)
+    return partition.balanced_split(nodes, links, 3, 0.1, rounds=6, orders=6).select("id", F.col("part").alias("fold"))
+
+
+@query(f"""with s as (select prot_id * 1000 + row_nr as id, replace(aligned, '-', '') as s from ({_ALIGNED})), k as (select distinct id, substr(s, i, 5) as w from (select *, unnest(generate_series(1, length(s) - 4)) as i from s)),
+  e as (select a.id as u, b.id as v, count(*) as n from k a join k b on a.w = b.w and a.id < b.id group by 1, 2 having count(*) >= 2)
+  select 3::bigint as n_parts, true as within, true as below_plain, (select count(*) from s) as n_rows, (select coalesce(sum(n), 0)::double from e) as weight""")
+def balanced_split_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds' sizes are within their bounds, and their cut is below that of folds by the id's remainder."""
+    nodes, links = _similar(spark, sf_dir)
+    found = partition.balanced_split(nodes, links, 3, 0.1, rounds=6, orders=6)
+    plain = partition.split_report(nodes.withColumn("part", (F.col("id") % 3).cast("int")), links).select(F.col("cut").alias("plain"))
+    n = found.agg(F.count("*").alias("n_rows"))
+    within = (F.col("largest") <= F.ceil(F.col("n_rows") / 3 * 1.1)) & (F.col("smallest") >= F.floor(F.col("n_rows") / 3 * 0.9))
+    rows = partition.split_report(found, links).crossJoin(F.broadcast(plain)).crossJoin(F.broadcast(n))
+    return rows.select("n_parts", within.alias("within"), (F.col("cut") <= F.col("plain")).alias("below_plain"), "n_rows", "weight")
