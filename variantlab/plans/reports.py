@@ -61,6 +61,13 @@ def sequence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.shared_words(rows, rows, "id", "s", 5, 2, 20)
 
 
+@query()
+def scored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by similar words, extended and aligned within a band; the best 20 of each query are its feature."""
+    rows = aligned(spark, sf_dir).select((F.col("prot_id") * 1000 + F.col("row_nr")).alias("id"), F.replace("aligned", F.lit("-"), F.lit("")).alias("s"))
+    return search.scored_hits(rows, rows, "id", "s", most=20).select("query", "target", "score", "rank")
+
+
 @query("select event_type, count(value) as n, round(avg(value), 6) as mean from events group by event_type")
 def stream_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, up to what is there now."""
