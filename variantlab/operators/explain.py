@@ -278,3 +278,50 @@ def sample_losses(paths: DataFrame, key: list[str], target: str, power: float =
     """A sample's errors summed over trees."""
     each = paths.groupBy(*key, "tree").agg(F.abs(warped_error(F.first("prediction"), F.first(target), power)).alias("e"))
     return each.groupBy(*key).agg(F.sum("e").alias("loss"))
+
+
+def leaves(samples: DataFrame, nodes: list[tuple], key: list[str], features: str = "features") -> DataFrame:
+    """The key, tree and leaf (its node) of every sample in every tree."""
+    shared = samples.sparkSession.sparkContext.broadcast(_trees(nodes))
+    schema = samples.select(*key).schema.add("tree", "integer").add("leaf", "integer")
+
+    def run(batches):
+        for pdf in batches:
+            x = np.stack(pdf[features].to_numpy()) if len(pdf) else np.empty((0, 0))
+            for t, tree in enumerate(shared.value):
+                at, rows = np.zeros(len(x), int), np.arange(len(x))
+                while len(rows := rows[tree["left"][at[rows]] >= 0]):
+                    node = at[rows]
+                    at[rows] = np.where(x[rows, tree["feature"][node]] <= tree["threshold"][node], tree["left"][node], tree["right"][node])
+                yield pdf[key].reset_index(drop=True).assign(tree=np.int32(t), leaf=at.astype("int32"))
+
+    return samples.select(*key, features).mapInPandas(run, schema)
+
+
+def tree_distances(leaves: DataFrame, key: list[str]) -> DataFrame:
+    """tree_a < tree_b, n (samples that both have) and distance: the share of pairs of those samples that one tree puts into one leaf and the other apart.
+
+    Pairs of samples are counted from the table of leaf by leaf: a sample makes a row for each pair of
+    trees, and these are counted before anything is shuffled by trees and leaves.  Trees with fewer than
+    two samples in common have no distance.
+    """
+    a = leaves.select(*key, F.col("tree").alias("tree_a"), F.col("leaf").alias("_a"))
+    b = leaves.select(*key, F.col("tree").alias("tree_b"), F.col("leaf").alias("_b"))
+    both = a.join(b, key).where("tree_a < tree_b").groupBy("tree_a", "tree_b", "_a", "_b").agg(F.count("*").alias("_n"))
+    square = lambda *by: both.groupBy("tree_a", "tree_b", *by).agg(F.sum("_n").alias("_m")).groupBy("tree_a", "tree_b").agg(F.sum(F.col("_m") * F.col("_m")).alias("s" + "".join(by)), F.sum("_m").alias("n"))
+    out = square("_a", "_b").join(square("_a").drop("n"), ["tree_a", "tree_b"]).join(square("_b").drop("n"), ["tree_a", "tree_b"])
+    apart = F.col("s_a") + F.col("s_b") - 2 * F.col("s_a_b")
+    return out.select("tree_a", "tree_b", "n", F.try_divide(apart, F.col("n") * (F.col("n") - 1)).alias("distance"))
+
+
+def representative_trees(distances: DataFrame) -> DataFrame:
+    """Tree, mean_distance to the others, and rank from the most representative one, the medoid; ties by the tree's number."""
+    both = distances.select(F.col("tree_a").alias("tree"), "distance").union(distances.select(F.col("tree_b").alias("tree"), "distance"))
+    means = both.groupBy("tree").agg(F.avg("distance").alias("mean_distance"))
+    return means.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_distance").isNull(), F.round("mean_distance", 9), "tree")))
+
+
+def nearest_tree(paths: DataFrame, key: list[str], ensemble: str) -> DataFrame:
+    """Of each sample the tree whose prediction is nearest to the ensemble's; ties by the tree's number."""
+    each = paths.groupBy(*key, "tree").agg(F.abs(F.first("prediction") - F.first(ensemble)).alias("_d"))
+    return each.groupBy(*key).agg(F.min_by("tree", F.struct("_d", "tree")).alias("tree"), F.min("_d").alias("distance"))

@@ -93,6 +93,27 @@ def tree_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out.join(explain.sample_losses(rows, ["sample"], "target"), "sample"), "tree_sd", "loss")
 
 
+_LEAVES = f"select sample, tree, arg_max(feature, depth) as leaf from ({_PATHS}) group by 1, 2"
+
+
+@query(f"""with l as ({_LEAVES}), c as (select a.tree as ta, b.tree as tb, a.leaf as la, b.leaf as lb, count(*) as n from l a join l b on a.sample = b.sample and a.tree < b.tree group by 1, 2, 3, 4),
+  j as (select ta, tb, sum(n * n) as s, sum(n) as n from c group by 1, 2), x as (select ta, tb, sum(m * m) as s from (select ta, tb, la, sum(n) as m from c group by 1, 2, 3) group by 1, 2), y as (select ta, tb, sum(m * m) as s from (select ta, tb, lb, sum(n) as m from c group by 1, 2, 3) group by 1, 2),
+  d as (select ta, tb, case when j.n > 1 then (x.s + y.s - 2 * j.s) / (j.n * (j.n - 1))::double end as d from j join x using (ta, tb) join y using (ta, tb)),
+  m as (select tree, avg(d) as m from (select ta as tree, d from d union all select tb, d from d) group by tree)
+  select tree, round(m, 6) as mean_distance, row_number() over (order by m is null, round(m, 9), tree) as rank from m""")
+def representative_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees by how alike they put samples into leaves."""
+    leaves = paths(spark, sf_dir).groupBy("sample", "tree").agg(F.max_by("feature", "depth").alias("leaf"))
+    return r6(explain.representative_trees(explain.tree_distances(leaves, ["sample"])), "mean_distance")
+
+
+@query(f"""with t as (select sample, tree, abs(any_value(prediction) - any_value(target)) as d from ({_PATHS}) group by 1, 2)
+  select sample, arg_min(tree, (d, tree)) as tree, round(min(d), 6) as distance from t group by sample""")
+def nearest_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17, by sample."""
+    return r6(explain.nearest_tree(paths(spark, sf_dir), ["sample"], "target"), "distance")
+
+
 _CUTS = _PATHS.replace("as target", "as target, l_discount::double as threshold, l_tax::double as value")
 
 

@@ -112,6 +112,15 @@ def lasso_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in kept], "feature int")
 
 
+@query()
+def hinge_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that tell labels from each other by an L1-penalised squared hinge."""
+    rows = samples(spark, sf_dir)
+    classes = sorted(r.label for r in rows.select("label").distinct().collect())
+    kept = model.hinge_selection(rows, "label", classes, WIDTH, 3, penalty=0.01, steps=40)
+    return spark.createDataFrame([(i,) for i in kept], "feature int")
+
+
 @query()
 def bayes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objective is a job over all samples: how well a weighted pair of features ranks labels within groups."""
