@@ -66,8 +66,8 @@ def composition(variants: DataFrame, cells: DataFrame, group: str = "prot_id") -
 
 
 def position_medians(rows: DataFrame, group: str, pos: str, value: str) -> DataFrame:
-    """The median of each position."""
-    return rows.groupBy(group, pos).agg(F.median(value).alias("median"))
+    """The median of each position, NULL where it has no value; no task needs all values of one."""
+    return by_group(rows.select(group, pos).distinct(), quantiles(rows, [group, pos], value, {"median": 0.5}), [group, pos])
 
 
 def group_median(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from variantlab.tables import running
+
 
 def dictionary(rows: DataFrame, column: str, order: str) -> DataFrame:
     """Value and code of each category, 0.. in the order in which they first appear; NULL is a category.
 
-    A dictionary has a row per category, so the window over it is over a small table.
+    Categories are numbered by running totals over slices, so there may be any number of them.
     """
     first = rows.groupBy(column).agg(F.min(order).alias("_first"))
-    return first.select(F.col(column).alias("value"), (F.row_number().over(Window.orderBy("_first", column)) - 1).cast("long").alias("code"))
+    return running(first, ["_first", column], {"_n": F.lit(1)}).select(F.col(column).alias("value"), (F.col("_n") - 1).cast("long").alias("code"))
 
 
 def extended(known: DataFrame, rows: DataFrame, column: str, order: str) -> DataFrame:
@@ -38,7 +40,8 @@ def one_hot(rows: DataFrame, column: str, categories: list[str]) -> DataFrame:
 def by_frequency(rows: DataFrame, column: str) -> DataFrame:
     """Value and code, the rarest category 1 and so on, the most frequent 0 of two."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return counts.select(F.col(column).alias("value"), "n", (F.row_number().over(Window.orderBy(F.desc("n"), column)) - 1).cast("long").alias("code"))
+    placed = running(counts.withColumn("_few", -F.col("n")), ["_few", column], {"_n": F.lit(1)})
+    return placed.select(F.col(column).alias("value"), "n", (F.col("_n") - 1).cast("long").alias("code"))
 
 
 def wide(long: DataFrame, key: list[str], features: list[str], feature: str = "feature", value: str = "value", default: float | None = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantlab.functions.expr import feature_category
@@ -29,20 +29,23 @@ def reduced(scores: DataFrame, by: list[str], score: str, fold: str) -> DataFram
 
 def cumulative_spearman(rows: DataFrame, dataset: str, group: str, a: str, b: str) -> DataFrame:
     """For each dataset its own Spearman and the mean over its groups."""
-    whole = stats.group_spearman(rows, [dataset], a, b).select(dataset, F.col("r").alias("spearman"))
+    whole = stats.group_spearman(rows, [dataset], a, b, sliced=True).select(dataset, F.col("r").alias("spearman"))
     groups = stats.group_spearman(rows, [dataset, group], a, b).groupBy(dataset).agg(F.avg(F.abs("r")).alias("mean_spearman"))
     return whole.join(groups, dataset)
 
 
 def ordinal_ranks(rows: DataFrame, value: str, by: list[str], key: str) -> DataFrame:
-    """Rank without ties (by key where equal), and the smallest tied rank."""
-    group = Window.partitionBy(*by)
-    return rows.withColumns({"ordinal": F.row_number().over(group.orderBy(value, key)), "competition": F.rank().over(group.orderBy(value))})
+    """Rank without ties (by key where equal), and the smallest tied rank; no task needs a whole group."""
+    placed = stats.numbered(rows, by, [value, key], "ordinal")
+    ties = placed.groupBy(*by, value).agg(F.min("ordinal").alias("competition"))
+    return stats.by_group(placed, ties, [*by, value], "inner")
 
 
-def group_lists(rows: DataFrame, group: str, key: str, values: list[str]) -> DataFrame:
-    """Each group's rows as an array in order of the key."""
-    return rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(key, *values))).alias("rows"))
+def group_lists(rows: DataFrame, group: str, key: str, values: list[str], most: int = 100_000) -> DataFrame:
+    """Each group's rows as arrays in order of the key, in parts (from 0) of at most `most` rows."""
+    placed = stats.numbered(rows.select(group, key, *values), [group], [key, *values], "_n")
+    part = F.floor((F.col("_n") - 1) / most).cast("long").alias("part")
+    return placed.groupBy(group, part).agg(F.sort_array(F.collect_list(F.struct(key, *values))).alias("rows"))
 
 
 @dataclass(frozen=True)

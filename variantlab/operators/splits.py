@@ -7,9 +7,11 @@ same rows are taken on any cluster and however the input is partitioned.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from variantlab.operators import stats
 from variantlab.operators.stats import by_group
 from variantlab.tables import running
 
@@ -78,10 +80,19 @@ def given_folds(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(table.select(*key, F.col("bin").alias("fold")), key)
 
 
+#: Most folds that are nested: the result has the rows once for each.
+FOLDS = 1000
+
+
 def nested_folds(rows: DataFrame, fold: str = "fold") -> DataFrame:
     """For each outer fold the training rows, with the inner fold that holds each one out."""
-    folds = rows.select(F.col(fold).alias("outer")).distinct()
-    return rows.join(F.broadcast(folds), F.col("outer") != F.col(fold)).withColumn("inner", F.col(fold)).drop(fold)
+    folds = [r[0] for r in rows.select(fold).where(F.col(fold).isNotNull()).distinct().limit(FOLDS + 1).collect()]
+    if len(folds) > FOLDS:
+        raise ValueError(f"nested folds copy the rows for each of at most {FOLDS} folds")
+    kind = rows.schema[fold].dataType
+    every = F.array(*[F.lit(f).cast(kind) for f in sorted(folds)]) if folds else F.array().cast(ArrayType(kind))
+    out = rows.withColumn("outer", F.explode(F.filter(every, lambda x: x != F.col(fold))))
+    return out.withColumn("inner", F.col(fold)).drop(fold)
 
 
 def circularity(train: DataFrame, test: DataFrame, key: list[str], group: str) -> DataFrame:
@@ -101,8 +112,8 @@ def balanced(rows: DataFrame, group: str, label: str, key: str, seed: int = 0, k
     counts = rows.groupBy(group, label).agg(F.count("*").alias("_n"))
     per = counts.groupBy(group).agg(F.min("_n").alias("_least"), F.count("*").alias("_labels"), F.sum("_n").alias("_all"))
     use = per.where((F.col("_labels") > 1) | (F.lit(keep_singletons) & (F.col("_all") == 1)))
-    place = F.row_number().over(Window.partitionBy(group, label).orderBy(shuffled(key, seed=seed), key))
-    return rows.join(use, group).withColumn("_place", place).where("_place <= _least").select(*rows.columns)
+    own = rows.join(use, group).withColumn("_h", shuffled(key, seed=seed))
+    return stats.numbered(own, [group, label], ["_h", key], "_place").where("_place <= _least").select(*rows.columns)
 
 
 def level(low: list[tuple], high: list[tuple], threshold: float) -> list[tuple]:

@@ -43,6 +43,13 @@ def ranked(df: DataFrame, value: str, name: str, by: list[str] | None = None) ->
     return by_group(df, ranks, [*by, value]).select(*df.columns, name)
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """`df` with each row's number in its group, from 1, in an order without ties, by running totals over slices."""
+    every = running(df, [*by, *order], {name: F.lit(1)})
+    first = every.groupBy(*by).agg(F.min(name).alias("_first"))
+    return by_group(every, first, by, "inner").withColumn(name, F.col(name) - F.col("_first") + 1).select(*df.columns, name)
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles by name, each between its two neighbours; groups without a value are left out.
 
@@ -69,12 +76,19 @@ def group_pearson(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(a, b).alias("r"))
 
 
-def group_spearman(df: DataFrame, by: list[str], a: str, b: str, sliced: bool = False) -> DataFrame:
+#: Rows of a group up to which its ranks are a window of one task.
+GROUP = 1_000_000
+
+
+def group_spearman(df: DataFrame, by: list[str], a: str, b: str, sliced: bool | None = None) -> DataFrame:
     """A02 by group, on rows where both are given: n and r.
 
-    Ranks are windows over groups, which must fit a task; sliced: they are taken in slices, for few or very uneven groups.
+    Ranks are windows over groups, or where the largest group has over GROUP rows running totals over
+    slices; sliced says which, and spares the count.  Both ways give the same ranks.
     """
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    if sliced is None:
+        sliced = (both.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > GROUP
     ranks = ranked(ranked(both, a, "_a", by), b, "_b", by) if sliced else both.select(*by, avg_rank(a, *by).alias("_a"), avg_rank(b, *by).alias("_b"))
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), safe_corr("_a", "_b").alias("r"))
 

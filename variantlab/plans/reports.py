@@ -49,7 +49,8 @@ def ordinal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     lists = report.group_lists(rows, "source", "doc_id", ["toxic"])
-    return lists.select("source", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["doc_id"].alias("first_id"), F.element_at("rows", -1)["doc_id"].alias("last_id"))
+    ends = (F.sum(F.size("rows")).alias("n"), F.min(F.get("rows", F.lit(0))["doc_id"]).alias("first_id"), F.max(F.element_at("rows", -1)["doc_id"]).alias("last_id"))
+    return lists.groupBy("source").agg(*ends)
 
 
 @query(f"""with s as (select prot_id * 1000 + row_nr as id, replace(aligned, '-', '') as s from ({_ALIGNED})), k as (select distinct id, substr(s, i, 5) as w from (select *, unnest(generate_series(1, length(s) - 4)) as i from s)),
