@@ -77,12 +77,24 @@ def interrupted(first: float, best_first: float | None, share: float = 0.95) ->
     return best_first is not None and first < share * best_first
 
 
-def catalogue(spark: SparkSession, features: list[tuple[str, str, str]]) -> DataFrame:
-    """Name, type, group and category of features."""
-    rows = spark.createDataFrame(features, "feature string, f_type string, grp string")
+def catalogue(spark: SparkSession, features: list[tuple]) -> DataFrame:
+    """Name, type, group, default (text or none) and whether it depends on the mutant residue, and the category, of features given as tuples of the first three to five."""
+    full = [(*f, *(None, False)[len(f) - 3 :]) for f in features]
+    rows = spark.createDataFrame([(*f[:3], None if f[3] is None else str(f[3]), bool(f[4])) for f in full], "feature string, f_type string, grp string, default string, mutation_specific boolean")
     return rows.withColumn("category", feature_category(F.col("feature")))
 
 
+#: Spark's type of each feature type.
+TYPES = {"real": "double", "integer": "long", "binary": "int", "categorical": "string"}
+
+
+def filled(rows: DataFrame, features: list[tuple]) -> DataFrame:
+    """The features' columns in their types, missing values as the features' defaults."""
+    own = {f[0]: (TYPES[f[1]], f[3] if len(f) > 3 else None) for f in features}
+    cells = {name: F.coalesce(F.col(f"`{name}`").try_cast(kind), F.lit(default).try_cast(kind)) for name, (kind, default) in own.items() if name in rows.columns}
+    return rows.withColumns(cells)
+
+
 def active(features: list[str], groups: dict[str, str], without: set[str] = frozenset(), dropped: set[str] = frozenset()) -> list[str]:
     """sorted names of features that are neither dropped nor of a dropped group."""
     return sorted(f for f in features if groups.get(f) not in without and f not in dropped)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantlab.functions import expr
-from variantlab.operators import clean, encode
+from variantlab.operators import clean, encode, report
 from variantlab.plans.cleaning import _AAC, _variants
 from variantlab.plans.common import query, table
 from variantlab.plans.features import _ALIGNED, aligned
@@ -292,6 +292,52 @@ def stored_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.looked_up(rows)
 
 
+@query(f"""with s as (select s from ({_PROTEINS}) where prot_id = 0 and row_nr = 0), c as (select s[pos] as wt, pos, '{expr.RESIDUES}'[i] as mut, i, pos + i as k from s, generate_series(1, length(s)) p(pos), generate_series(1, 20) r(i))
+  select wt || pos || mut as aac, ((i * 7 + pos * 3) % 17 - 8) / 4.0::double as value from c where k % 5 <> 0""")
+def effect_matrix_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix with a row for each mutant residue and a column for each position, NA in some cells."""
+    seed = _proteins(spark, sf_dir).where("prot_id = 0 and row_nr = 0").select("s")
+    sequence = seed.first().s
+    cell = lambda p: F.when((p + F.col("i")) % 5 == 0, "NA").otherwise(((F.pmod(F.col("i") * 7 + p * 3, F.lit(17)) - 8) / 4.0).cast("string"))
+    rows = seed.select("s", F.posexplode(F.split(F.lit(expr.RESIDUES), "")).alias("i", "aa")).where("aa <> ''").withColumn("i", F.col("i") + 1)
+    line = F.concat_ws(" ", F.concat(F.lit('"'), F.lower("aa"), F.lit('"')), F.transform(F.sequence(F.lit(1), F.length("s")), cell))
+    path = scratch(spark, "matrix")
+    rows.select(line).write.text(path)
+    return tables.effect_matrix(spark, path, "p", sequence).select("aac", "value")
+
+
+@query(f"select (row_number() over (order by row_nr) - 1)::int as row_nr, 'S' || row_nr as seq_id, aligned from ({_PROTEINS}) where prot_id = 1")
+def block_alignment_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alignment in blocks of 60 columns, with lines of marks between."""
+    rows = _proteins(spark, sf_dir).where("prot_id = 1").select("row_nr", "aligned")
+    width = F.ceil(F.length("aligned") / 60).cast("int")
+    parts = rows.select("row_nr", F.explode(F.sequence(F.lit(0), width - 1)).alias("block"), "aligned")
+    lines = parts.select("block", "row_nr", F.format_string("S%d   %s", "row_nr", F.substring("aligned", F.col("block") * 60 + 1, F.lit(60))).alias("line"))
+    marks = lines.select("block", F.lit(1 << 30).alias("row_nr"), F.lit("      **  .:").alias("line")).distinct()
+    path = scratch(spark, "blocks")
+    lines.union(marks).orderBy("block", "row_nr").coalesce(1).select("line").write.text(path)  # the file's order is its meaning
+    return tables.block_alignment(spark, path, "p").select("row_nr", "seq_id", "aligned")
+
+
+@query("select p_brand as prot_id, count(*) as weight from part group by p_brand")
+def weights_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of each protein, its samples, written and read."""
+    path = scratch(spark, "weights")
+    tables.write_samples(table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("prot_id")).agg(F.count("*").alias("weight")), path)
+    return tables.text_table(spark, path).select("prot_id", expr.as_real(F.col("weight")).cast("long").alias("weight"))
+
+
+_FEATURES = [("p_size", "integer", "structural", 0), ("p_type", "categorical", "structural", "Not mapped"), ("p_retailprice", "real", "sequence", 2.0, True)]
+
+
+@query("""select p_partkey, case when p_partkey % 4 = 0 then 0 else p_size end::bigint as p_size, case when p_partkey % 3 = 0 then 'Not mapped' else p_type end as p_type, case when p_partkey % 5 = 0 then 2.0 else p_retailprice end::double as p_retailprice from part""")
+def catalogue_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing values by the features' defaults."""
+    some = lambda c, k: F.when(F.col("p_partkey") % k != 0, F.col(c)).alias(c)
+    rows = table(spark, sf_dir, "part").select("p_partkey", some("p_size", 4), some("p_type", 3), some("p_retailprice", 5))
+    return report.filled(rows, _FEATURES)
+
+
 # expressions
 
 

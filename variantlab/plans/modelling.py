@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantlab.operators import boosting, explain, model, select, stats
+from variantlab.operators import boosting, encode, explain, model, report, select, stats
 from variantlab.plans.common import query, table
 from variantlab.plans.statistics import r6
+from variantlab.tables import scratch
 
 WIDTH = 64
 
@@ -143,3 +144,28 @@ def feature_rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = model.forest(model.vectors(samples(spark, sf_dir)), "label", 10, 5)
     found = model.importances(fitted, [f"f{i:02d}" for i in range(WIDTH)], 0.0)
     return select.rank_table(spark.createDataFrame(found, "feature string, score double"), "feature", "score")
+
+
+@query("select count(*) as n, count(*) as n_equal from embeddings")
+def saved_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model written and read predicts what it did before."""
+    rows = model.vectors(samples(spark, sf_dir))
+    fitted = model.forest(rows, "label", 4, 4)
+    path = scratch(spark, "model")
+    model.saved(fitted, path)
+    again = model.loaded(type(fitted), path).transform(rows.select("vec_id", "vector")).select("vec_id", F.col("prediction").alias("again"))
+    both = fitted.transform(rows).select("vec_id", "prediction").join(again, "vec_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("again")).alias("n_equal"))
+
+
+_GROUPS = {f"f{i:02d}": f"g{i % 3}" for i in range(WIDTH)}
+
+
+@query(f"""with v as (select vec_id, 'f' || lpad((i - 1)::varchar, 2, '0') as feature, (i - 1) % 3 as g, embedding[i]::double as x from embeddings, generate_series(1, {WIDTH}) t(i))
+  select vec_id, count(*) as n_features, round(sum(x), 6) as total from v where g <> 1 and feature not in ('f02', 'f03') group by vec_id""")
+def active_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples by the features that are neither dropped nor of a dropped group."""
+    rows = samples(spark, sf_dir)
+    wide = rows.select("vec_id", *[F.get("features", i).alias(f"f{i:02d}") for i in range(WIDTH)])
+    kept = encode.matrix(wide, ["vec_id"], report.active(list(_GROUPS), _GROUPS, {"g1"}, {"f02", "f03"}))
+    return r6(kept.select("vec_id", F.size("features").cast("long").alias("n_features"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantlab.functions import expr
+from variantlab.tables import running
 
 # Header names that have a newer name.
 SYNONYMS = {
@@ -158,9 +159,8 @@ def block_alignment(spark: SparkSession, path: str, prot_id: str) -> DataFrame:
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.col("value").startswith(" ").alias("marks"), parts.alias("p"))
     lines = lines.where((F.size("p") == 2) & ~F.col("marks")).select("n", F.col("p")[0].alias("seq_id"), F.col("p")[1].alias("part"))
     rows = lines.groupBy("seq_id").agg(F.min("n").alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda s: s["part"]), "").alias("aligned"))
-    from pyspark.sql import Window
-
-    return rows.select(F.lit(prot_id).alias("prot_id"), (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias("row_nr"), "seq_id", "aligned")
+    placed = running(rows, ["_first"], {"_n": F.lit(1)})
+    return placed.select(F.lit(prot_id).alias("prot_id"), (F.col("_n") - 1).cast("int").alias("row_nr"), "seq_id", "aligned")
 
 
 def substitution_matrix(text: str) -> dict[tuple[str, str], float]:
