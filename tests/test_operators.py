@@ -202,13 +202,21 @@ def test_group_correlation_in_slices(spark):
         assert one[g] == pytest.approx(two[g])
 
 
-def test_large_groups_are_levelled_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(splits, "LEVELLED", 50)
-    df = spark.range(1000).select("id", F.when(F.col("id") < 800, "hot").otherwise("other").alias("g"), (F.xxhash64("id") % 100 / 100.0).alias("v"))
-    got = splits.levelled(df, "g", "id", "v", 0.1)
-    assert got.count() == got.select("id").distinct().count() > 500
-    for r in got.groupBy("g").agg(F.avg("v").alias("m")).collect():
-        assert abs(r.m - 0.1) < 0.1
+def test_levelled_groups_are_the_best_stretches(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 800, "hot").when(F.col("id") < 950, "other").when(F.col("id") < 990, F.lit(None)).otherwise("high").alias("g"), (F.when(F.col("id") < 990, F.xxhash64("id") % 100 / 100.0).otherwise(5.0)).alias("v"))
+    df = df.union(spark.createDataFrame([(2000, "hot", None), (2001, "hot", float("nan")), (2002, "one", 1.0)], "id long, g string, v double"))
+    given, got = {}, {}
+    for table, rows in ((given, df.collect()), (got, splits.levelled(df, "g", "id", "v", 0.1).collect())):
+        for r in rows:
+            if r.v is not None and r.v == r.v:
+                table.setdefault(r.g, []).append((abs(r.v - 0.1), r.id, r.v >= 0.1))
+    assert set(got) == {"hot", "other", None}
+    for g, own in got.items():
+        low, high = ([x for x in sorted(given[g]) if x[2] is side] for side in (False, True))
+        few, many = (low, high) if len(low) < len(high) else (high, low)
+        m, total = len(few), sum(x[0] for x in few)
+        k = min(range(len(many) - m + 1), key=lambda i: (round(abs(sum(x[0] for x in many[i : i + m]) - total), 6), i))
+        assert sorted(own) == sorted(few + many[k : k + m])
 
 
 def test_folds_and_leaks(spark):
@@ -222,13 +230,6 @@ def test_folds_and_leaks(spark):
     assert a == {r.id for r in splits.sample_rows(df.repartition(7), ["id"], 50, 3).collect()} and len(a) == 50
 
 
-def test_level_keeps_the_mean():
-    low, high = [(i, 0.1 * i) for i in range(3)], [(10 + i, 1.0 + 0.1 * i) for i in range(8)]
-    got = splits.level(low, high, 0.6)
-    assert len(got) == 6 and len({k for k, _ in got}) == 6 and abs(np.mean([t for _, t in got]) - 0.6) < 0.1
-    assert splits.level([], high, 0.6) == []
-
-
 def test_weights(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 4.0)], "id int, t double")
     for power in (1.0, 2.0, 3.0):

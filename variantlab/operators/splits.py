@@ -6,7 +6,6 @@ same rows are taken on any cluster and however the input is partitioned.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -116,49 +115,33 @@ def balanced(rows: DataFrame, group: str, label: str, key: str, seed: int = 0, k
     return stats.numbered(own, [group, label], ["_h", key], "_place").where("_place <= _least").select(*rows.columns)
 
 
-def level(low: list[tuple], high: list[tuple], threshold: float) -> list[tuple]:
-    """Rows (key, target) that alternate between the smaller side and the one of the larger that brings the mean nearest to the threshold."""
-    import bisect
-
-    few, many = sorted((low, high), key=len)
-    if not few:
-        return []
-    rest = sorted((t, k) for k, t in many)
-    total, out = 0.0, []
-    for k, t in few:
-        out.append((k, t))
-        total += t
-        wanted = threshold * (len(out) + 1) - total  # the target that would make the mean exact
-        i = bisect.bisect_left(rest, (wanted,))
-        i = min((j for j in (i - 1, i) if 0 <= j < len(rest)), key=lambda j: abs(rest[j][0] - wanted))
-        t, k = rest.pop(i)
-        out.append((k, t))
-        total += t
-    return out
-
-
-#: Rows of a group that are levelled together.
-LEVELLED = 100_000
-
-
 def levelled(rows: DataFrame, group: str, key: str, target: str, threshold: float) -> DataFrame:
-    """Of each group a subsample whose mean stays at the threshold; groups on one side of it go.
+    """Of each group a subsample whose mean is at the threshold: the smaller side of it, and as many rows of the larger.
 
-    A group of m rows is dealt by a hash of the key to ceil(m / LEVELLED) parts, each levelled by
-    itself, so that no task has a whole large group.
+    Rows of the larger side stand in the order of their distance from the threshold; of all stretches of
+    the wanted number there, the one is taken whose distances sum up nearest to the smaller side's (the
+    nearer one of equals).  Both sides are numbered and summed up by running totals over slices, and
+    the sum of a stretch is the difference of two rows' totals, an equi-join by number: the same rule
+    for a group of any size.  Groups on one side of the threshold go, as do rows without target.
     """
-    g, k = (rows.schema[c].dataType.simpleString() for c in (group, key))
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(key)
-        pairs = list(zip(table[key], table[target].astype(float)))
-        got = level([p for p in pairs if p[1] < threshold], [p for p in pairs if p[1] >= threshold], threshold)
-        return pd.DataFrame({group: table[group].iloc[0], key: [a for a, _ in got], target: [b for _, b in got]})
-
-    given = rows.where(F.col(target).isNotNull()).select(group, key, target)
-    parts = given.groupBy(group).agg(F.ceil(F.count("*") / LEVELLED).alias("_parts"))
-    dealt = by_group(given, parts, [group]).withColumn("_part", F.pmod(F.xxhash64(key), "_parts")).drop("_parts")
-    return dealt.groupBy(group, "_part").applyInPandas(run, f"`{group}` {g}, `{key}` {k}, `{target}` double")
+    t = F.col(target).cast("double")
+    own = rows.where(t.isNotNull() & ~F.isnan(t)).select(group, key, target, F.abs(t - threshold).alias("_d"), (t >= threshold).cast("int").alias("_side"))
+    placed = running(own, [group, "_side", "_d", key], {"_i": F.lit(1), "_c": F.col("_d")})
+    first = placed.groupBy(group, "_side").agg(F.min("_i").alias("_i0"), F.min(F.col("_c") - F.col("_d")).alias("_c0"), F.count("*").alias("_n"), F.max("_c").alias("_c1"))
+    pair = lambda k: (F.max(F.when(F.col("_side") == k, F.col("_n"))).alias(f"_n{k}"), F.max(F.when(F.col("_side") == k, F.col("_c1") - F.col("_c0"))).alias(f"_s{k}"))
+    both = first.groupBy(group).agg(*pair(0), *pair(1)).where("_n0 > 0 and _n1 > 0")
+    few = F.when(F.col("_n0") < F.col("_n1"), 0).otherwise(1)
+    wanted = both.select(group, few.alias("_few"), F.least("_n0", "_n1").alias("_m"), F.when(few == 0, F.col("_s0")).otherwise(F.col("_s1")).alias("_sum"), F.when(few == 0, F.col("_s1")).otherwise(F.col("_s0")).alias("_all"))
+    known = by_group(first.select(group, "_side", "_i0", "_c0"), wanted, [group], "inner")
+    rows = by_group(placed, known, [group, "_side"], "inner").withColumns({"_at": F.col("_i") - F.col("_i0"), "_before": F.col("_c") - F.col("_d") - F.col("_c0")})
+    many = rows.where("_side <> _few")
+    after = many.select(group, (F.col("_at") - F.col("_m")).alias("_at"), F.col("_before").alias("_after")).where("_at >= 0")
+    last = (F.col("_side") != F.col("_few")) & (F.col("_at") == F.col("_all_n") - F.col("_m"))
+    sizes = both.select(group, F.greatest("_n0", "_n1").alias("_all_n"))
+    starts = by_group(by_group(many, after, [group, "_at"]), sizes, [group], "inner").withColumn("_after", F.when(last, F.col("_all")).otherwise(F.col("_after"))).where("_after is not null")
+    best = starts.groupBy(group).agg(F.min_by("_at", F.struct(F.round(F.abs(F.col("_after") - F.col("_before") - F.col("_sum")), 6), "_at")).alias("_from"))
+    taken = by_group(rows, best, [group], "inner").where("_side = _few or (_at >= _from and _at < _from + _m)")
+    return taken.select(group, key, F.col(target).cast("double").alias(target))
 
 
 def inverse_frequency(rows: DataFrame, group: str, role: str) -> DataFrame:

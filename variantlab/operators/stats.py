@@ -114,14 +114,22 @@ def rank_objective(groups: DataFrame) -> DataFrame:
 
 
 def regression_scores(df: DataFrame, true: str, pred: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """N, mse, r2 and pearson, with weights if given."""
+    """N, mse, r2 and pearson, with weights if given.
+
+    Targets are spread around their mean, not around 0, so large ones lose no digits.
+    """
+    by = by or []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y, p = F.col(true).cast("double"), F.col(pred).cast("double")
     rows = df.where(y.isNotNull() & p.isNotNull())
-    sw, swy, swyy = F.sum(w), F.sum(w * y), F.sum(w * y * y)
+    sw = F.sum(w)
     error = F.sum(w * (y - p) * (y - p))
-    spread = swyy - swy * swy / sw
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.try_divide(error, sw).alias("mse"), (1 - F.try_divide(error, spread)).alias("r2"), safe_corr(y, p).alias("pearson"))
+    if weight:
+        rows = by_group(rows, rows.groupBy(*by).agg(F.try_divide(F.sum(w * y), sw).alias("_mean")), by)
+        spread = F.sum(w * (y - F.col("_mean")) * (y - F.col("_mean")))
+    else:
+        spread = F.var_pop(y) * F.count("*")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(error, sw).alias("mse"), (1 - F.try_divide(error, spread)).alias("r2"), safe_corr(y, p).alias("pearson"))
 
 
 def confusion_counts(label: Column, predicted: Column) -> dict[str, Column]:

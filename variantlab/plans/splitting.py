@@ -92,7 +92,12 @@ def balanced_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.balanced(rows, "source", "toxic", "doc_id").select("doc_id")
 
 
-@query()
+@query("""with e as (select user_id, event_id, value, abs(value - 1.0) as d, (value >= 1.0)::int as side from events where value is not null),
+  n as (select user_id, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1, sum(d) filter (side = 0) as s0, sum(d) filter (side = 1) as s1 from e group by user_id having n0 > 0 and n1 > 0),
+  w as (select user_id, case when n0 < n1 then 0 else 1 end as few, least(n0, n1) as m, greatest(n0, n1) as a, case when n0 < n1 then s0 else s1 end as s from n),
+  r as (select e.*, few, m, a, s, row_number() over o - 1 as pos, sum(d) over (partition by e.user_id, side order by d, event_id rows between current row and unbounded following) as rest from e join w on w.user_id = e.user_id window o as (partition by e.user_id, side order by d, event_id)),
+  k as (select x.user_id, arg_min(x.pos, (round(abs(x.rest - coalesce(y.rest, 0) - x.s), 6), x.pos)) as k0 from r x left join r y on y.user_id = x.user_id and y.side = x.side and y.pos = x.pos + x.m where x.side <> x.few and x.pos <= x.a - x.m group by x.user_id)
+  select r.user_id, event_id, value::double as value from r join k on k.user_id = r.user_id where side = few or (pos >= k0 and pos < k0 + m)""")
 def levelled_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.levelled(_events(spark, sf_dir), "user_id", "event_id", "value", 1.0)
 
