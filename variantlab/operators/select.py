@@ -13,7 +13,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variantlab.operators.stats import avg_rank, ranked, safe_corr
+from variantlab.operators.pairs import pair_ranks
+from variantlab.operators.stats import ranked, safe_corr
 
 
 def pair_statistics(long: DataFrame, sample: str, target: str | None = None, feature: str = "feature", value: str = "value", complete: bool = False) -> DataFrame:
@@ -21,26 +22,19 @@ def pair_statistics(long: DataFrame, sample: str, target: str | None = None, fea
 
     feat_a < feat_b by name.  cov_a and cov_b are shares of all samples, cov_both that of samples
     with both among those with either.  With `target`, tv_a and tv_b are each feature's Spearman with
-    it.  complete: no value is NULL, so ranks are taken once for a feature instead of once for a pair,
-    and no row is made for a pair of a sample's features.
+    it.  complete: no value is NULL, so ranks are taken once for a feature instead of once for a pair.
+    A sample has a feature once; rows without sample or feature don't count.
     """
-    rows = long.select(sample, feature, F.col(value).cast("double").alias("v"), *([target] if target else []))
+    rows = long.where(F.col(sample).isNotNull() & F.col(feature).isNotNull()).select(sample, feature, F.col(value).cast("double").alias("v"), *([target] if target else []))
     given = rows.where("v is not null")
-    total = long.select(sample).distinct().agg(F.count("*").alias("n_all"))
+    total = rows.select(sample).distinct().agg(F.count("*").alias("n_all"))
     each = given.groupBy(feature).agg(F.count("*").alias("n"))
     if target:
         each = each.join(target_correlation(given.select(feature, "v", target), target, feature, "v"), feature, "left")
     if complete:
         out = _rank_matrix(given, sample, feature)
         return _with_cover(out, each, total, feature, bool(target))
-    # one array per sample keeps a self-join on samples from shuffling twice
-    width = given.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(F.col(feature).alias("f"), F.col("v").alias("x")))).alias("fs"))
-    first = width.select(sample, "fs", F.posexplode("fs").alias("i", "a"))
-    pairs = first.select(F.col("a.f").alias("feat_a"), F.col("a.x").alias("xa"), F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("b"))
-    pairs = pairs.select("feat_a", F.col("b.f").alias("feat_b"), "xa", F.col("b.x").alias("xb"))
-    pairs = pairs.select("feat_a", "feat_b", avg_rank("xa", "feat_a", "feat_b").alias("xa"), avg_rank("xb", "feat_a", "feat_b").alias("xb"))
-    out = pairs.groupBy("feat_a", "feat_b").agg(F.count("*").alias("n_both"), safe_corr("xa", "xb").alias("corr"))
-    return _with_cover(out, each, total, feature, bool(target))
+    return _with_cover(pair_ranks(given, sample, feature), each, total, feature, bool(target))
 
 
 def _rank_matrix(given: DataFrame, sample: str, feature: str) -> DataFrame:
