@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from variantlab.operators import pairs, select
+from variantlab.operators import distances, pairs, select, splits
 
 SCHEMA = "id string, feature string, value double"
 
@@ -60,3 +60,39 @@ def test_odd_cells(spark):
     assert got["a", "b"].corr == pytest.approx(1.0) and got["a", "c"].corr is None
     assert got["a", "b"].cov_a == pytest.approx(5 / 6) and got["a", "b"].cov_both == pytest.approx(4 / 5)
     assert select.pair_statistics(spark.createDataFrame([], SCHEMA), "id").collect() == []
+
+
+def spread(kind, n, seed=0):
+    rng = np.random.default_rng(seed)
+    if kind == "even":
+        return rng.random(n)
+    if kind == "tailed":
+        return np.exp(rng.normal(size=n) * 4)
+    return np.concatenate([rng.normal(size=n // 2) * 1e-9, rng.normal(size=n - n // 2) * 50 - 7, [1e6]])
+
+
+@pytest.mark.parametrize("kind,power", [("even", 0.5), ("tailed", 3.0), ("tailed", 0.3), ("clustered", 1.5), ("clustered", 4.0)])
+def test_mean_powers(spark, monkeypatch, kind, power):
+    """Also where levels are many, as leaves hold few targets."""
+    monkeypatch.setattr(distances, "LEAF", 8)
+    others = np.round(spread(kind, 900), 12)
+    others = np.concatenate([others, np.repeat(others[:3], 400)])
+    values = np.concatenate([others[::2], spread(kind, 50, 1)])
+    df = spark.createDataFrame([(float(x),) for x in others], "t double")
+    counts = df.groupBy("t").count().withColumnRenamed("count", "_n")
+    asked = spark.createDataFrame([(float(x),) for x in np.unique(values)], "t double")
+    got = {r.t: r.weight for r in distances.mean_powers(asked, counts, "t", power).collect()}
+    assert len(got) == len(np.unique(values))
+    for x, w in got.items():
+        assert w == pytest.approx(np.mean(np.abs(x - others) ** power), rel=1e-8)
+
+
+def test_odd_targets(spark):
+    """NULL has no row; targets that aren't finite have no weight; one target has weight 0; decimals stay decimals."""
+    df = spark.createDataFrame([(v,) for v in (1.0, 1.0, 5.0, None, float("nan"), float("inf"))], "t double")
+    got = {str(r.t): r.weight for r in splits.distance_weights(df, "t", 0.5).collect()}
+    assert got == {"1.0": pytest.approx(2 / 3), "5.0": pytest.approx(4 / 3), "nan": None, "inf": None}
+    assert [tuple(r) for r in splits.distance_weights(df.where("t = 1"), "t", 3.0).collect()] == [(1.0, 0.0)]
+    assert splits.distance_weights(df.where("t = 2"), "t", 3.0).collect() == []
+    exact = splits.distance_weights(df.where("t < 6").selectExpr("cast(t as decimal(15,2)) as t"), "t", 0.5)
+    assert exact.schema["t"].dataType.simpleString() == "decimal(15,2)" and {str(r.t) for r in exact.collect()} == {"1.00", "5.00"}

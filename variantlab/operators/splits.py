@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from variantlab.operators import stats
+from variantlab.operators.distances import mean_powers
 from variantlab.operators.stats import by_group
 from variantlab.tables import running
 
@@ -155,7 +156,7 @@ def _mean_distance(values: DataFrame, others: DataFrame, target: str, power: flo
     """Distinct `values` with `weight`, the mean of |difference|^power over `others`.
 
     For power 2 that is (t - mean)^2 + variance; for power 1 it follows from running totals of rows
-    and of their sum.  For other powers distinct values meet with their counts, never rows.
+    and of their sum.  Other powers are summed up by expansions.
     """
     if power == 2:
         m = others.agg(F.avg(target).alias("_m"), F.var_pop(target).alias("_v"))
@@ -169,9 +170,7 @@ def _mean_distance(values: DataFrame, others: DataFrame, target: str, power: flo
         all_ = counts.agg(F.sum("_n").alias("_rows"), F.sum(F.col("_n") * t).alias("_total"))
         apart = t * (2 * F.col("_to") - F.col("_rows")) - 2 * F.col("_sum") + F.col("_total")
         return placed.crossJoin(F.broadcast(all_)).select(target, (apart / F.col("_rows")).alias("weight"))
-    other = counts.withColumnRenamed(target, "_t")
-    d = F.pow(F.abs(F.col(target) - F.col("_t")), F.lit(power))
-    return values.crossJoin(other).groupBy(target).agg((F.sum(d * F.col("_n")) / F.sum("_n")).alias("weight"))
+    return mean_powers(values, counts, target, power)
 
 
 def distance_weights(rows: DataFrame, target: str, power: float = 2.0) -> DataFrame:

@@ -125,6 +125,12 @@ def distance_weights_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(splits.distance_weights(table(spark, sf_dir, "lineitem"), "l_quantity", 1.0), "weight")
 
 
+@query("with c as (select value, count(*) as n from events where value is not null group by 1) select a.value, round(sum(sqrt(abs(a.value - b.value)) * b.n) / sum(b.n), 6) as weight from c a, c b group by 1")
+def distance_weights_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A22 for a power that has no closed form."""
+    return r6(splits.distance_weights(_events(spark, sf_dir), "value", 0.5), "weight")
+
+
 @query(f"with m as (select user_id, avg(value) as m from {_TRAIN} group by user_id) select event_id, round(coalesce(m, 0.5), 6) as mean_target from {_TEST} left join m using (user_id)")
 def group_mean_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _train_test(spark, sf_dir)
