@@ -161,8 +161,9 @@ def mean_powers(values: DataFrame, counts: DataFrame, target: str, power: float)
     inside = inside.select("below", "level", *MOMENTS).mapInPandas(_downward(deepest), numbers).groupBy("cell").agg(*total)
     far = sum((F.col(m) * _term(F.col("y"), j) for j, m in enumerate(MOMENTS)), F.lit(0.0))
     known = points.join(inside, "cell", "left").select("cell", "t", "v", "n", "asked", F.coalesce(far, F.lit(0.0)).alias("far"))
-    sides = known.where("n > 0").select(F.explode(F.array(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"), "t", "v", "n", F.lit(False).alias("asked"), "far")
+    sides = F.when(F.col("n") > 0, F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
+    rows = known.select("*", F.explode(sides).alias("side")).withColumns({"cell": F.col("cell") + F.col("side"), "asked": F.col("asked") & (F.col("side") == 0)}).drop("side")
     kind = values.schema[target].dataType.simpleString()
-    rows = known.unionByName(sides).repartition("cell").sortWithinPartitions("cell")
+    rows = rows.repartition("cell").sortWithinPartitions("cell")
     sums = rows.mapInPandas(_near("_target", power, span), f"_target {kind}, weight double")
     return sums.select(F.col("_target").alias(target), (F.col("weight") / n * span**power).alias("weight")).unionByName(odd)
