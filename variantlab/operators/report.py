@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from variantlab.functions.expr import feature_category
 from variantlab.operators import stats
+from variantlab.tables import leading
 
 
 def with_error(rows: DataFrame, target: str, prediction: str) -> DataFrame:
@@ -77,6 +78,29 @@ def interrupted(first: float, best_first: float | None, share: float = 0.95) ->
     return best_first is not None and first < share * best_first
 
 
+def trials(rows: DataFrame, study: str, run: str, fold: str, score: str, objective: Objective, share: float = 0.95) -> DataFrame:
+    """Each run of a study, in the order of runs, beside the best run before it.
+
+    first_score is that of the run's smallest fold (the smaller score of equal folds), full_score the mean
+    over folds.  best_first and best_full are those of the earlier run with the best mean (of equals the
+    one with the better first fold), NULL for a study's first run.  improved tells whether the mean beats it,
+    gain by how much, estimated what the mean would be from the first fold alone, and interrupted whether
+    validation could have ended after the first fold.  Rows without study, run, fold or a score don't count.
+    The best so far is a running maximum over slices, so a study may have most of the rows.
+    """
+    sign = F.lit(1.0 if objective.larger else -1.0)
+    given = rows.select(F.col(study).alias("_study"), F.col(run).alias("_run"), F.col(fold).alias("_fold"), F.col(score).cast("double").alias("_score")).dropna()
+    runs = given.groupBy("_study", "_run").agg(F.min(F.struct("_fold", "_score"))["_score"].alias("first_score"), F.avg("_score").alias("full_score"))
+    led = leading(runs, ["_study", "_run"], "_best", F.struct("_study", (sign * F.col("full_score")).alias("full"), (sign * F.col("first_score")).alias("first")))
+    own = F.col("_best._study") == F.col("_study")
+    led = led.withColumns({"best_first": F.when(own, sign * F.col("_best.first")), "best_full": F.when(own, sign * F.col("_best.full"))})
+    gain = sign * (F.col("full_score") - F.col("best_full"))
+    low = F.col("first_score") < share * F.col("best_first") if objective.larger else share * F.col("first_score") > F.col("best_first")
+    estimated = F.col("first_score") + F.col("best_full") - F.col("best_first")
+    flags = (F.coalesce(gain > 0, F.lit(True)).alias("improved"), gain.alias("gain"), estimated.alias("estimated"), F.coalesce(low, F.lit(False)).alias("interrupted"))
+    return led.select(F.col("_study").alias(study), F.col("_run").alias(run), "first_score", "full_score", "best_first", "best_full", *flags)
+
+
 def catalogue(spark: SparkSession, features: list[tuple]) -> DataFrame:
     """Name, type, group, default (text or none) and whether it depends on the mutant residue, and the category, of features given as tuples of the first three to five."""
     full = [(*f, *(None, False)[len(f) - 3 :]) for f in features]

@@ -40,6 +40,16 @@ def dataset_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out, "spearman", "mean_spearman")
 
 
+@query("""with r as (select l_suppkey, l_orderkey, arg_min(l_quantity, (l_linenumber, l_quantity))::double as f, avg(l_quantity)::double as a from lineitem group by 1, 2),
+  b as (select *, max({'a': -a, 'f': -f}) over (partition by l_suppkey order by l_orderkey rows between unbounded preceding and 1 preceding) as m from r)
+  select l_suppkey, l_orderkey, f as first_score, round(a, 6) as full_score, -m.f as best_first, round(-m.a, 6) as best_full, coalesce(a < -m.a, true) as improved, round(-m.a - a, 6) as gain,
+  round(f - m.a + m.f, 6) as estimated, coalesce(0.95 * f > -m.f, false) as interrupted from b""")
+def trial_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs of their suppliers' studies, lines as folds, small quantities best."""
+    runs = report.trials(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", report.OBJECTIVES["mse"])
+    return r6(runs, "full_score", "best_full", "gain", "estimated")
+
+
 @query("select p_partkey, row_number() over (partition by p_brand order by p_size, p_partkey) as ordinal, rank() over (partition by p_brand order by p_size) as competition from part")
 def ordinal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.ordinal_ranks(table(spark, sf_dir, "part"), "p_size", ["p_brand"], "p_partkey").select("p_partkey", "ordinal", "competition")

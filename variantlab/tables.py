@@ -54,6 +54,22 @@ def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataF
     return inside.join(F.broadcast(starts), "_slice").select(*rows.columns, *[(F.col(f"_start_{name}") + F.col(f"_up_{name}")).alias(name) for name in sums])
 
 
+def leading(rows: DataFrame, order: list[str], name: str, value: Column) -> DataFrame:
+    """`rows` with the greatest `value` of all rows before each one, in an order without ties; NULL for the first.
+
+    Slices are as in `running`.  Where `value` is a struct whose first field is a group and the order starts
+    with it, only rows of the same group, if any, give what leads.
+    """
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = rows.select("*", value.alias("_own"))
+    dealt = written(given.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_slice").agg(F.max("_own").alias("_all")).select("_slice", F.max("_all").over(before).alias("_start"))
+    above = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.select("*", F.max("_own").over(above).alias("_up"))
+    return inside.join(F.broadcast(starts), "_slice").select(*rows.columns, F.greatest("_start", "_up").alias(name))
+
+
 #: A vertex with more than a share of 1 / HOT of all edge ends has its minimum broadcast: there are fewer than HOT of them.
 HOT = 1000
 
