@@ -96,3 +96,9 @@ def test_odd_targets(spark):
     assert splits.distance_weights(df.where("t = 2"), "t", 3.0).collect() == []
     exact = splits.distance_weights(df.where("t < 6").selectExpr("cast(t as decimal(15,2)) as t"), "t", 0.5)
     assert exact.schema["t"].dataType.simpleString() == "decimal(15,2)" and {str(r.t) for r in exact.collect()} == {"1.00", "5.00"}
+
+
+def test_powers_beyond_doubles(spark):
+    """A mean that no double holds is infinite."""
+    df = spark.createDataFrame([(0.0,), (1e200,)], "t double")
+    assert {r.weight for r in splits.distance_weights(df, "t", 3.0).collect()} == {float("inf")}

@@ -166,4 +166,4 @@ def mean_powers(values: DataFrame, counts: DataFrame, target: str, power: float)
     kind = values.schema[target].dataType.simpleString()
     rows = rows.repartition("cell").sortWithinPartitions("cell")
     sums = rows.mapInPandas(_near("_target", power, span), f"_target {kind}, weight double")
-    return sums.select(F.col("_target").alias(target), (F.col("weight") / n * span**power).alias("weight")).unionByName(odd)
+    return sums.select(F.col("_target").alias(target), (F.col("weight") / n * F.pow(F.lit(span), F.lit(float(power)))).alias("weight")).unionByName(odd)
