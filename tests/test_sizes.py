@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from variantlab.operators import boosting
+from variantlab.operators import boosting, stats
 
 
 def test_bins_end_at_exact_quantiles(spark):
@@ -17,3 +19,18 @@ def test_bins_end_at_exact_quantiles(spark):
     for own, edges in zip(values, got):
         assert edges.tolist() == sorted({own[-(-k * len(own) // bins) - 1] for k in range(1, bins)})
     assert not len(got[3])
+
+
+def _dealt_by_number(df):
+    """Numbers of tasks that shuffles asked for."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [int(n) for n in re.findall(r"hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+
+
+def test_groups_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 50).alias("g"), F.pmod(F.xxhash64("id"), F.lit(30)).alias("a"), (F.col("id") % 37).alias("b"))
+    whole = {r.g: r.r for r in stats.group_spearman(df, ["g"], "a", "b").collect()}
+    monkeypatch.setattr(stats, "GROUP", 40)
+    many = stats.group_spearman(df, ["g"], "a", "b")
+    assert _dealt_by_number(many) == [25]
+    assert {r.g: r.r for r in many.collect()} == whole
