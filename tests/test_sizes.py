@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from variantlab.operators import boosting, stats
+from variantlab.sources import tables
 
 
 def test_bins_end_at_exact_quantiles(spark):
@@ -34,3 +35,18 @@ def test_groups_are_dealt_to_tasks_by_rows(spark, monkeypatch):
     many = stats.group_spearman(df, ["g"], "a", "b")
     assert _dealt_by_number(many) == [25]
     assert {r.g: r.r for r in many.collect()} == whole
+
+
+def test_hits_are_dealt_by_bytes_and_taken_in_file_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "HITS", 100, raising=False)
+    monkeypatch.setattr(tables, "RUN", 3, raising=False)
+    every = [("hot" if i % 4 else f"q{i % 12}", f"t{i}", "M" * (i % 5 + 1)) for i in range(200)]
+    for k in (1, 0, 2):
+        (tmp_path / f"part {k}.csv").write_text("".join("\t".join(r) + "\n" for r in every[k * 70 : (k + 1) * 70]))
+    got = tables.search_hits(spark, str(tmp_path), 10)
+    assert set(_dealt_by_number(got)) == {-(-sum(f.stat().st_size for f in tmp_path.iterdir()) // 100)}
+    assert got.columns == ["query", "target", "tseq", "rank"]
+    want = []
+    for q in sorted({r[0] for r in every}):
+        want += [(*r, n + 1) for n, r in enumerate([r for r in every if r[0] == q][:10])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

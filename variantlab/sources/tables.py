@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variantlab.functions import expr
@@ -101,13 +101,26 @@ def effect_matrix(spark: SparkSession, path: str, prot_id: str, sequence: str) -
     return out.where("value is not null")
 
 
+#: Bytes of hit files whose hits a task takes, and the bits of a run of hits of one file split.
+HITS, RUN = 32 << 20, 20
+
+
 def search_hits(spark: SparkSession, path: str, most: int = 5000) -> DataFrame:
-    """Query, target, tseq, rank; the first `most` hits of each query in file order. Hits of all files count (Q16)."""
-    rows = spark.read.csv(path, sep="\t", schema="query string, target string, tseq string")
-    from pyspark.sql import Window
+    """Query, target, tseq, rank; the first `most` hits of each query in file order. Hits of all files count (Q16).
 
-    order = Window.partitionBy("query").orderBy(F.col("_metadata.file_path"), F.monotonically_increasing_id())
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    Files are numbered, so that no row carries its path, and their bytes say how many tasks share the hits.  Each
+    query's first hits are taken from runs of 2^RUN hits, then from what these leave: no task has all hits of a query.
+    """
+    files = sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("_metadata.file_path", "length").collect())
+    numbers = F.broadcast(spark.createDataFrame([(name, i) for i, (name, _) in enumerate(files)], "_path string, _file int"))
+    rows = spark.read.csv(path, sep="\t", schema="query string, target string, tseq string")
+    placed = rows.select("*", F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("_path")).join(numbers, "_path").drop("_path")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(n for _, n in files) // HITS))
+    runs = placed.withColumn("_run", F.shiftright("_id", RUN))
+    for by in (["query", "_run"], ["query"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_file", "_id"))
+        runs = runs.repartition(tasks, *by).withColumn("rank", place).where(F.col("rank") <= most)
+    return runs.select(*rows.columns, "rank")
 
 
 def names_list(spark: SparkSession, path: str) -> DataFrame:
