@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from variantlab.tables import written
 
-#: About so many counts are held by a task at a time.
-NUMBERS = 1 << 22
+#: About so many counts are held by a task at a time, in some ten arrays of 8 bytes each.
+NUMBERS = 1 << 20
 
 
 def _given(masks: pd.Series, width: int) -> np.ndarray:
