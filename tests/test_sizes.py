@@ -37,6 +37,37 @@ def test_groups_are_dealt_to_tasks_by_rows(spark, monkeypatch):
     assert {r.g: r.r for r in many.collect()} == whole
 
 
+def _spearman(rows):
+    if len(rows) < 2:
+        return None
+    place = lambda own: np.array([sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2 for v in own])
+    a, b = (place([r[k] for r in rows]) for k in (0, 1))
+    return float(np.corrcoef(a, b)[0, 1]) if a.std() and b.std() else None
+
+
+def test_record_reads_its_rows_twice(spark):
+    rng = np.random.default_rng(3)
+    rows = [(("a", "b", None)[i % 3], float(rng.integers(9)), float(rng.integers(9))) for i in range(150)] + [("a", None, 1.0), ("b", 1.0, None), ("one", 1.0, 2.0), ("same", 2.0, 1.0), ("same", 2.0, 3.0)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "g string, y double, p double").mapInArrow(count, "g string, y double, p double")
+    got = stats.score_record(df, "y", "p", "g").first()
+    given = [r for r in rows if r[1] is not None and r[2] is not None]
+    own = [_spearman([r[1:] for r in given if r[0] == g]) for g in {r[0] for r in given}]
+    y, p = (np.array([r[k] for r in given]) for k in (1, 2))
+    u, v = y >= np.median(y), p >= np.median(p)
+    assert got.n == len(given)
+    assert np.isclose(got.spearman, _spearman([r[1:] for r in given]))
+    assert np.isclose(got.mean_spearman, np.mean([abs(r) for r in own if r is not None]))
+    assert np.isclose(got.mcc, np.corrcoef(u, v)[0, 1])
+    assert seen.value <= 2 * len(rows)
+
+
 def test_hits_are_dealt_by_bytes_and_taken_in_file_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "HITS", 100, raising=False)
     monkeypatch.setattr(tables, "RUN", 3, raising=False)
