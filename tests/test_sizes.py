@@ -81,3 +81,16 @@ def test_hits_are_dealt_by_bytes_and_taken_in_file_order(spark, tmp_path, monkey
     for q in sorted({r[0] for r in every}):
         want += [(*r, n + 1) for n, r in enumerate([r for r in every if r[0] == q][:10])]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_boosting_slices_only_large_groups(spark, monkeypatch):
+    x = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(97)).cast("double")
+    df = spark.range(120).select("id", (F.col("id") % 4).alias("grp"), (F.col("id") % 3).cast("int").alias("fold"), F.array(x(1), x(2)).alias("features")).withColumn("y", F.col("features")[0] + F.col("id") % 5)
+    every = lambda **k: boosting.cross_validated(df, ["id"], "y", "grp", "fold", 3, 2, boosting.Settings(rounds=1, depth=2, bins=8, **k), final=False).objectives()
+    sliced = every(sliced=True)
+
+    def refuse(*_):
+        raise AssertionError("in slices")
+
+    monkeypatch.setattr(stats, "running", refuse)
+    assert np.allclose(every(), sliced)
